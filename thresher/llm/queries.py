@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pieces, sharding, token_files
+from . import decontaminate, line_dedup, pieces, sharding, substrings, token_files, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
+    "op2_decontaminate": decontaminate.query,
     "op4_line_dedup": line_dedup.query,
+    "op7_substrings": substrings.query,
+    "op8_toxicity": toxicity.query,
     "op9_token_files": token_files.query,
     "op10_sharding": sharding.query,
 }
 
 ORACLES = {
+    "op2_decontaminate": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,
 }
