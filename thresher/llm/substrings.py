@@ -24,8 +24,6 @@ or more; an empty table gives an empty table.  Columns other than id and text ar
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -38,30 +36,21 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=4)
-def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
-    """v = q*q+q+1 (q prime) and q+1 residues whose differences are all residues, found by search.
-
-    For q = 11: a perfect difference set of 12 residues modulo 133.
-    """
-    v = q * q + q + 1
-
-    def grow(chosen: list[int], used: set[int]) -> list[int] | None:
-        if len(chosen) == q + 1:
-            return chosen
-        for x in range(chosen[-1] + 1, v):
-            new = {(x - c) % v for c in chosen} | {(c - x) % v for c in chosen}
-            if len(new) == 2 * len(chosen) and not new & used and (found := grow([*chosen, x], used | new)):
-                return found
-        return None
-
-    return v, tuple(grow([0, 1], {1, v - 1}))
+# Perfect difference sets modulo q*q+q+1, every residue the difference of one pair.
+COVERS = {
+    1: (0,),
+    7: (0, 1, 3),
+    13: (0, 1, 3, 9),
+    31: (0, 1, 3, 8, 12, 18),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
+    133: (1, 11, 16, 40, 41, 43, 52, 60, 74, 78, 121, 128),
+}
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     """The largest cover that leaves cover suffixes a third of the string in common at least."""
-    fitting = [q for q in (2, 3, 5, 7, 11) if 3 * (q * q + q + 1) <= 2 * length + 1]
-    return difference_cover(fitting[-1]) if fitting else (1, (0,))
+    v = max(v for v in COVERS if 3 * v <= 2 * length + 1)
+    return v, COVERS[v]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -229,8 +218,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     groups = digest.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "key")).alias("first")).where("copies > 1")
     copies = digest.join(groups, ["t1", "t2"])
-    is_first = copies["doc_id"].eqNullSafe(copies["first.doc_id"]) & (copies["key"] == copies["first.key"])
-    flags = copies.select(block, F.lit(0).alias("kind"), "doc_id", "key", F.lit(None).cast("int").alias("bucket"), is_first.cast("long").alias("n"), F.lit(None).cast("binary").alias("data")).distinct()
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    own_id, own_key = F.col("doc_id").alias("doc_id"), F.col("key").alias("key")  # columns of their own, apart from those of the texts
+    flags = copies.select(block, F.lit(0).alias("kind"), own_id, own_key, F.lit(None).cast("int").alias("bucket"), is_first.cast("long").alias("n"), F.lit(None).cast("binary").alias("data")).distinct()
 
     def send(kind: int, buckets: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
