@@ -123,9 +123,9 @@ class Block:
         more = (Prints(self.data, BASES[1]).of(at, self.length) >> np.uint64(48)).astype(np.uint16) if len(at) else np.zeros(0, np.uint16)
         return at, self.prints.of(at, self.length), more
 
-    def spans(self, buckets: int) -> list[list[tuple[int, int]]]:
+    def spans(self, cover_buckets: int, buckets: int) -> list[list[tuple[int, int]]]:
         """Of each row: its repeated bytes as maximal runs."""
-        at, marks, more = self.candidates(buckets)
+        at, marks, more = self.candidates(cover_buckets)
         repeated = at[flagged(marks, buckets, self.bits[2], more)]
         edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, repeated, 1)
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             left_rows: list = []
             return pa.table({"doc_id": pa.array(left_rows, pa.int64()), "n_bytes": pa.array(left_rows, pa.int64()), "spans": pa.array(left_rows, spans_type), "kept": pa.array(left_rows, pa.binary())})
         own = Block(left, right, length)
-        spans = own.spans(string_buckets)
+        spans = own.spans(cover_buckets, string_buckets)
         kept = []
         for (_, _, t), runs in zip(own.rows, spans):
             ends = [0, *(b for _, b in runs)]
