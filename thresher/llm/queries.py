@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, pieces, sharding, substrings, token_files, toxicity
+from . import decontaminate, jaccard, line_dedup, pieces, sharding, substrings, token_files, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_jaccard": jaccard.query,
     "op4_line_dedup": line_dedup.query,
     "op7_substrings": substrings.query,
     "op8_toxicity": toxicity.query,
