@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import content as N
+from .text import counted
 
 
 def _load(raw: str | None):
@@ -33,7 +34,7 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else N.canonical_json(_load(v)))
 
 
-@F.pandas_udf("struct<content:string,input_tokens:bigint,output_tokens:bigint>")
+@F.pandas_udf(counted("content"))
 def compress_content(content: pd.Series, ratio_millis: pd.Series) -> pd.DataFrame:
     rows = []
     for raw, ratio in zip(content, ratio_millis):

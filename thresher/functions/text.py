@@ -7,7 +7,6 @@ regular expressions in the JVM (:func:`token_count_expr`, kept as the plan-only
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +17,12 @@ from pyspark.sql import types as T
 from . import classes as C
 from . import kernels as K
 
-SENTENCE = "struct<idx:int,text:string,list_item:boolean,tokens:bigint,score:bigint>"
+# Types as objects: a DDL string would need a session when the module is imported.
+SENTENCE = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("list_item", T.BooleanType()), T.StructField("tokens", T.LongType()), T.StructField("score", T.LongType())])
+
+
+def counted(name: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()), T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
 
 
 @F.pandas_udf(T.LongType())
@@ -126,7 +130,7 @@ def coverage(original: Column, short: Column) -> Column:
     return F.when(F.size(of) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(of, short)) / F.size(of))
 
 
-@F.pandas_udf(f"array<{SENTENCE}>")
+@F.pandas_udf(T.ArrayType(SENTENCE))
 def sentences(text: pd.Series) -> pd.Series:
     """A text's sentences with their tokens and scores within that text."""
 
@@ -137,20 +141,20 @@ def sentences(text: pd.Series) -> pd.Series:
     return text.map(of)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def selected(text: pd.Series, ratio_millis: pd.Series) -> pd.Series:
     """Indices of the sentences that compression keeps."""
     return pd.Series([K.select(K.segment(t or ""), r) if K.segment(t or "") else [] for t, r in zip(text, ratio_millis)])
 
 
-@F.pandas_udf("struct<text:string,input_tokens:bigint,output_tokens:bigint>")
+@F.pandas_udf(counted("text"))
 def compress(text: pd.Series, ratio_millis: pd.Series) -> pd.DataFrame:
     """The compressed text; blank text is left alone and counts 0."""
     rows = [K.compress_text(t, r) if t and t.strip(C.SPACE_CHARS) else (t, 0, 0) for t, r in zip(text, ratio_millis)]
     return pd.DataFrame(rows, columns=["text", "input_tokens", "output_tokens"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_last(text: pd.Series, ratio_millis: pd.Series) -> pd.Series:
     return pd.Series([K.first_last(t or "", r) for t, r in zip(text, ratio_millis)])
 
