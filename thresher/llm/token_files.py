@@ -20,6 +20,9 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from collections import defaultdict
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -105,76 +108,121 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _spaced(text: str) -> str:
+    """The text with spaces for other white space; in lower case if its letters are Latin-1, as the tokenizer has no other use for their case."""
+    text = text.replace("\n", " ")
+    if any(c in text for c in "\t\r\x0b\x0c"):
+        text = _OTHER_SPACE.sub(" ", text)
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class WordTable:
     """Distinct words between white space and their ids.
 
     The tokenizer drops white space and never joins what stands on its two sides, so a text's ids
-    are those of its words.  A word of Latin letters is looked up in lower case, its full stop or
-    comma apart, as the tokenizer itself does both.
+    are those of its words.  A word of Latin letters, in lower case and without a full stop or
+    comma behind it, is a *core*: the tokenizer's own merges alone make its ids, so cores skip its
+    normaliser and its pattern, and are encoded by thousands.  The last id of each is one that ends
+    a word, which tells them apart.  Other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, table_rows: int):
-        from tokenizers import Tokenizer
+        import os
 
-        self.tok = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = self.tok.token_to_id(_SPECIAL)
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)}
         self.limit = table_rows
         self.clear()
 
     def clear(self) -> None:
-        self.core: dict[str, list[int]] = {}
-        self.code: dict[str, int] = {}
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for w in set(words).difference(plain):
-            self.core[w] = self.tok.encode(w, add_special_tokens=False).ids
-        for k in range(0, len(plain), 2000):
-            some, at = plain[k : k + 2000], 0
-            ids = self.tok.encode(_SPECIAL.join(some), add_special_tokens=False).ids
-            ids.append(self.special)
-            for w in some:  # the special token between words marks where each ends
-                end = ids.index(self.special, at)
-                self.core[w] = ids[at:end]
-                at = end + 1
+        self.code: defaultdict[str, int] = defaultdict()  # of a word: how many were there before it
+        self.code.default_factory = self.code.__len__
+        self.parts = np.zeros((0, 2), np.int64)  # of a word: its core and what stands behind it
+        self.core: dict[str, int] = {"": 0}
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def add(self, words: list[str]) -> None:
-        parts = []
-        for w in words:
-            if _PLAIN.fullmatch(w):
-                parts.append((w[:-1].lower(), w[-1]) if w[-1] in ".," else (w.lower(),))
-            else:
-                parts.append((w,))
-        self._encode(list({p for x in parts for p in x}.difference(self.core)))
-        encoded = [self.core[x[0]] if len(x) == 1 else self.core[x[0]] + self.core[x[1]] for x in parts]
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.code.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+    def _append(self, ids: np.ndarray, length: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(length.sum()))])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def _encode(self, cores: list[str], others: list[str]) -> None:
+        """Ids of new cores and of new words of other kinds, which are all added to the table."""
+        self.core.update(zip(cores + others, range(len(self.core), len(self.core) + len(cores) + len(others))))
+        if cores:
+            shown = [c if c.isascii() else c.encode().decode("latin-1").translate(self.alphabet) for c in cores]
+            batch = self.bare.encode_batch_fast([" ".join(shown[k : k + 1000]) for k in range(0, len(shown), 1000)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in batch])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(cores):
+                raise RuntimeError("the tokenizer ends words otherwise than expected")
+            self._append(ids, np.diff(ends, prepend=0))
+        marked = [w for w in others if "<|" in w]
+        alone = dict(zip(marked, self.tok.encode_batch_fast(marked, add_special_tokens=False)))
+        rest = [w for w in others if w not in alone]
+        batch = self.tok.encode_batch_fast([_SPECIAL.join(rest[k : k + 1000]) + _SPECIAL for k in range(0, len(rest), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in batch)])
+        ends = np.flatnonzero(ids == self.special)  # the special token stands behind each word
+        runs = iter(np.split(ids, ends + 1)[:-1])
+        out = [np.array(alone[w].ids, np.uint32) if w in alone else next(runs)[:-1] for w in others]
+        if out:
+            self._append(np.concatenate(out), np.array([len(x) for x in out], np.int64))
+
+    def add(self, words: list[str]) -> None:
+        plain, of = _PLAIN.fullmatch, self.core.__getitem__
+        heads = [(w[:-1].lower() if w[-1] in ".," else w.lower()) if plain(w) else None for w in words]
+        tails = [w[-1] if h is not None and w[-1] in ".," else "" for w, h in zip(words, heads)]
+        others = {w for w, h in zip(words, heads) if h is None}.union(tails).difference(self.core)
+        self._encode(list(set(heads).difference(self.core, (None,))), list(others))
+        pair = np.empty((len(words), 2), np.int64)
+        pair[:, 0] = np.fromiter(map(of, (w if h is None else h for w, h in zip(words, heads))), np.int64, len(words))
+        pair[:, 1] = np.fromiter(map(of, tails), np.int64, len(words))
+        self.parts = np.concatenate([self.parts, pair])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, and the number of ids of each text."""
         if len(self.code) > self.limit:
             self.clear()
-        split = [_OTHER_SPACE.sub(" ", t).split(" ") for t in texts]
-        new = set().union(*split).difference(self.code)
-        if new:
-            self.add(list(new))
-        code = [np.fromiter(map(self.code.__getitem__, w), np.int64, len(w)) for w in split]
-        n = np.array([int(self.length[c].sum()) for c in code], np.int64)
-        flat = np.concatenate(code)
-        ids = np.empty(int(n.sum()) + len(n), np.uint32)
+        split = [_spaced(t).split(" ") for t in texts]
+        known, count = len(self.code), [len(w) for w in split]
+        flat = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(count))
+        if len(self.code) > known:
+            self.add(list(islice(self.code, known, None)))
+        parts = self.parts[flat].ravel()
+        length = self.length[parts]
+        n = np.add.reduceat(length, 2 * (np.cumsum(count) - count))
         ends = np.cumsum(n + 1)
+        ids = np.empty(int(ends[-1]), np.uint32)
         keep = np.ones(len(ids), bool)
         keep[ends - 1] = False
-        ids[keep] = self.ids[ragged(self.start[flat], self.length[flat])]
+        ids[keep] = self.ids[ragged(self.start[parts], length)]
         ids[~keep] = end_id
         return ids, n + 1
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1_000_000, table_rows: int = 400_000, batch_chars: int = 4_000_000) -> None:
+@lru_cache(maxsize=1)
+def word_table(path: str, table_rows: int, job: str) -> WordTable:
+    """The Python worker's table: a worker that runs one task after another of a job goes on with it."""
+    return WordTable(path, table_rows)
+
+
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1_000_000, table_rows: int = 800_000, batch_chars: int = 4_000_000) -> None:
     """Tokenise ``docs`` and write files under ``path``: ``segments`` and ``manifest``.
 
     Texts are range-partitioned by id before they are tokenised, so the exchange carries them
@@ -184,11 +232,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     bound_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, job = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
     ordered = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
 
     def run(batches):
-        table, part = WordTable(tokenizer, table_rows), TaskContext.get().partitionId()
+        table, part = word_table(tokenizer, table_rows, job), TaskContext.get().partitionId()
         held: list = []  # (doc_ids, ids, n) not yet in a segment
         segment, first, tokens = 0, 0, 0
 
