@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import content as N
-from .text import counted
+from .text import counted, counted_rows
 
 
 def _load(raw: str | None):
@@ -41,7 +41,7 @@ def compress_content(content: pd.Series, ratio_millis: pd.Series) -> pd.DataFram
         value = _load(raw)
         short, before, after = N.compress_content(value, ratio)
         rows.append((raw if short == value else json.dumps(short, ensure_ascii=False), before, after))
-    return pd.DataFrame(rows, columns=["content", "input_tokens", "output_tokens"])
+    return counted_rows(rows, "content")
 
 
 @F.pandas_udf(T.StringType())

@@ -21,6 +21,12 @@ from . import kernels as K
 SENTENCE = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("list_item", T.BooleanType()), T.StructField("tokens", T.LongType()), T.StructField("score", T.LongType())])
 
 
+def counted_rows(rows: list[tuple], name: str) -> pd.DataFrame:
+    """Rows of a text and two counts; texts as objects, since Arrow-backed strings may come in chunks that a struct can't hold."""
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pd.DataFrame({name: pd.Series(columns[0], dtype=object), "input_tokens": pd.Series(columns[1], dtype="int64"), "output_tokens": pd.Series(columns[2], dtype="int64")})
+
+
 def counted(name: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()), T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
 
@@ -151,7 +157,7 @@ def selected(text: pd.Series, ratio_millis: pd.Series) -> pd.Series:
 def compress(text: pd.Series, ratio_millis: pd.Series) -> pd.DataFrame:
     """The compressed text; blank text is left alone and counts 0."""
     rows = [K.compress_text(t, r) if t and t.strip(C.SPACE_CHARS) else (t, 0, 0) for t, r in zip(text, ratio_millis)]
-    return pd.DataFrame(rows, columns=["text", "input_tokens", "output_tokens"])
+    return counted_rows(rows, "text")
 
 
 @F.pandas_udf(T.StringType())

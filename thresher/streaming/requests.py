@@ -28,7 +28,7 @@ def compress_requests(requests: DataFrame, config: Config) -> DataFrame:
 
     @F.pandas_udf(schema)
     def one(body: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compress_body(b, config) for b in body], columns=["body", "input_tokens", "output_tokens"])
+        return X.counted_rows([compress_body(b, config) for b in body], "body")
 
     carries = (F.col("method") == "POST") & F.regexp_like("path", F.lit(PATHS))
     if not config.active:
