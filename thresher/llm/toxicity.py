@@ -132,7 +132,8 @@ def _terms(sample: DataFrame, min_docs: int, min_share: float, min_odds: float,
 
         def flush():
             keys = list(seen[0].keys() | seen[1].keys())
-            out = pd.DataFrame({"term": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
+            # Strings as objects: Arrow-backed ones may come in chunks, which a batch of rows can't hold.
+            out = pd.DataFrame({"term": pd.Series(keys, dtype=object), "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
             seen[0].clear(), seen[1].clear()
             return out
 
