@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
+from ..functions import kernels as K
 from ..functions import text as X
 
 
@@ -35,10 +36,12 @@ def positions(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"pos": (F.row_number().over(w.orderBy("turn")) - 1).cast("int"), "n": F.count("*").over(w)})
 
 
-def purge_errors(messages: DataFrame, after: int = 4, placeholder: str = C.PURGED) -> DataFrame:
-    """Error messages before the last ``after`` have their text replaced."""
+def purge_errors(messages: DataFrame, after: int = 4, placeholder: str = C.PURGED, tokens: str | None = None) -> DataFrame:
+    """Error messages before the last ``after`` have their text replaced, and their count in column ``tokens``, if given."""
     old = (F.col("pos") < F.col("n") - after) & (X.classify(F.col("text")) == "error")
-    return positions(messages).withColumn("text", F.when(old, F.lit(placeholder)).otherwise(F.col("text"))).drop("pos", "n")
+    out = positions(messages).withColumn("__old", old)
+    new = {"text": placeholder} | ({tokens: int(K.token_counts([placeholder])[0])} if tokens else {})
+    return out.withColumns({c: F.when(F.col("__old"), F.lit(v)).otherwise(F.col(c)) for c, v in new.items()}).drop("pos", "n", "__old")
 
 
 def protect(messages: DataFrame, last_turns: int = 2) -> DataFrame:

@@ -22,11 +22,13 @@ def compress_messages(messages: DataFrame, config: Config, extra_strategies: tup
     """
     if not config.active:
         return messages.withColumns({"input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long"), "method": F.lit("passthrough")})
-    steps = [strategies.dedup] if config.dedup else []
-    steps += [lambda df: strategies.purge_errors(df, config.purge_after, config.placeholder)] if config.purge_after is not None else []
-    df = reduce(lambda d, f: f(d), [*steps, *extra_strategies], messages)
-    df = strategies.protect(df, config.last_turns)
-    df = df.withColumn("__tokens", X.token_count("text")).withColumn("__total", F.sum("__tokens").over(Window.partitionBy("conv_id")))
+    # Tokens are counted before the shuffle: Spark forgets the partitioning behind a UDF, and would shuffle again.
+    df = messages.withColumn("__tokens", X.token_count("text"))
+    df = strategies.dedup(df) if config.dedup else df
+    df = df if config.purge_after is None else strategies.purge_errors(df, config.purge_after, config.placeholder, "__tokens")
+    if extra_strategies:
+        df = reduce(lambda d, f: f(d), extra_strategies, df).withColumn("__tokens", X.token_count("text"))
+    df = strategies.protect(df, config.last_turns).withColumn("__total", F.sum("__tokens").over(Window.partitionBy("conv_id")))
     label = F.when(F.col("protected") | (F.col("__total") < config.threshold_tokens), F.lit(None)).otherwise(X.classify(F.col("text")))
     name = F.when(F.col("__total") < config.threshold_tokens, "below-threshold").when(F.col("protected"), "verbatim").otherwise(compressors.route(label, config))
     df = df.withColumn("method", name)
