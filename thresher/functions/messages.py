@@ -48,9 +48,10 @@ def compress_content(content: pd.Series, ratio_millis: pd.Series) -> pd.DataFram
 def splice_messages(body: pd.Series, messages: pd.Series) -> pd.Series:
     """A request body with only its messages replaced; written anew where that isn't possible."""
 
-    def one(b: str | None, m: str) -> str | None:
-        done = None if b is None else N.splice(b, "messages", m)
-        if done is not None or b is None:
+    def one(b: str | None, m: str | None) -> str | None:
+        if b is None or m is None:  # a body without a list to put in stays as it is
+            return b
+        if (done := N.splice(b, "messages", m)) is not None:
             return done
         value = _load(b)
         return json.dumps({**value, "messages": json.loads(m)}, ensure_ascii=False) if isinstance(value, dict) else b
