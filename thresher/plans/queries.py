@@ -43,6 +43,13 @@ def _docs(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
+def _spread(spark, sf_dir):
+    """Documents for work that takes far longer than reading: a file of fewer splits than cores is dealt out to all."""
+    docs = _docs(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _messages(spark, sf_dir):
     _table(spark, sf_dir, "conversations").createOrReplaceTempView("thresher_conversations")  # resolved at once, so the name may be used again
     return spark.sql(MESSAGES.replace("FROM conversations", "FROM thresher_conversations"))
@@ -132,7 +139,7 @@ def threshold_gate(spark, sf_dir):
 
 
 def _sentences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(X.sentences("text")).alias("s")).select("doc_id", "s.*")
+    return _spread(spark, sf_dir).select("doc_id", F.explode(X.sentences("text")).alias("s")).select("doc_id", "s.*")
 
 
 def segment_sentences(spark, sf_dir):
@@ -149,15 +156,15 @@ def sentence_rank(spark, sf_dir):
 
 
 def first_last_baseline(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(X.first_last("text", F.lit(RATIO)), 256).alias("baseline_sha256"))
+    return _spread(spark, sf_dir).select("doc_id", F.sha2(X.first_last("text", F.lit(RATIO)), 256).alias("baseline_sha256"))
 
 
 def select_sentences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.selected("text", F.lit(RATIO)).alias("kept"))
+    return _spread(spark, sf_dir).select("doc_id", X.selected("text", F.lit(RATIO)).alias("kept"))
 
 
 def compress_documents(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.compress("text", F.lit(RATIO)).alias("c")).select("doc_id", "c.*")
+    return _spread(spark, sf_dir).select("doc_id", X.compress("text", F.lit(RATIO)).alias("c")).select("doc_id", "c.*")
 
 
 def pipeline_messages(spark, sf_dir):
@@ -182,7 +189,7 @@ def pipeline_passthrough(spark, sf_dir):
 
 
 def coverage_report(spark, sf_dir):
-    return R.quality(_docs(spark, sf_dir), "lang", RATIO)
+    return R.quality(_spread(spark, sf_dir), "lang", RATIO)
 
 
 def baseline_coverage(spark, sf_dir):
@@ -207,7 +214,7 @@ def block_text(spark, sf_dir):
 
 
 def tool_result_meta(spark, sf_dir):
-    done = _docs(spark, sf_dir).select("doc_id", X.compress("text", F.lit(RATIO)).alias("c"))
+    done = _spread(spark, sf_dir).select("doc_id", X.compress("text", F.lit(RATIO)).alias("c"))
     return done.select("doc_id", X.stats_meta(F.col("c.input_tokens"), F.col("c.output_tokens"), F.lit("extract")).alias("meta")).select("doc_id", "meta.*")
 
 
