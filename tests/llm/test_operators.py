@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -324,8 +325,27 @@ def test_sharding(docs, empty, rows):
 
 def test_matrix_margins():
     counts, sizes = np.array([5, 0, 7, 30, 1]), np.array([10, 11, 11, 11])
-    matrix = np.array([sharding.matrix_row(p, counts, sizes, 3) for p in range(len(counts))])
+    total, known = np.concatenate([[0], np.cumsum(counts)]), {}
+    matrix = np.array([sharding.matrix_row(p, total, sizes, 3, known) for p in range(len(counts))])
     assert (matrix.sum(0) == sizes).all() and (matrix.sum(1) == counts).all()
+    assert all((sharding.matrix_row(p, total, sizes, 3) == matrix[p]).all() for p in range(len(counts)))
+
+
+def test_matrix_of_many_rows():
+    counts, sizes = np.array([3 * 10**9, 10**9, 0, 5 * 10**9 + 1]), np.array([10**9] * 8 + [10**9 + 1])
+    total = np.concatenate([[0], np.cumsum(counts)])
+    matrix = np.array([sharding.matrix_row(p, total, sizes, 3) for p in range(len(counts))])
+    assert (matrix.sum(0) == sizes).all() and (matrix.sum(1) == counts).all()
+    assert abs(matrix[0] / 3e9 * 9 - 1).max() < 1e-3
+
+
+@pytest.mark.parametrize("good, bad, draws", [(40, 60, 30), (3, 50, 50), (60, 5, 20), (7, 0, 3), (0, 7, 3), (5, 5, 10)])
+def test_hypergeometric(good, bad, draws):
+    """The sampler for large populations against the exact distribution, on small ones."""
+    rng, n = np.random.default_rng(8), 20_000
+    seen = np.bincount([sharding.hypergeometric(rng, good, bad, draws, 0) for _ in range(n)], minlength=draws + 1)
+    exact = np.array([comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(draws + 1)])
+    assert abs(seen / n - exact).max() < 5 * (0.25 / n) ** 0.5
 
 
 def test_components(spark):
