@@ -267,3 +267,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: all ``documents``, 3-word shingles, 90 per cent."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2])) END) AS x
+  FROM w WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), p AS (
+  SELECT i.a, i.b FROM i JOIN n AS na ON i.a = na.doc_id JOIN n AS nb ON i.b = nb.doc_id WHERE 100 * i.m >= 90 * (na.n + nb.n - i.m)
+), r AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id
+FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id
+LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) AS c ON documents.doc_id = c.a
+"""

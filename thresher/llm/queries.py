@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": decontaminate.SQL,
+    "op3_jaccard": jaccard.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_vectors": vectors.SQL,
+    "op7_substrings": substrings.SQL,
 }

@@ -269,3 +269,29 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), s AS (
+  SELECT doc_id, i, md5(array_slice(t, i + 1, i + 200)) AS x
+  FROM (SELECT doc_id, t, unnest(range(greatest(0, octet_length(t) - 199))) AS i FROM d)
+), c AS (
+  SELECT doc_id, i FROM s WHERE x IN (SELECT x FROM s GROUP BY x HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 201) > 200 AS new FROM c
+), k AS (
+  SELECT doc_id, i, sum(new::int) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g
+), r AS (
+  SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY doc_id, k
+), l AS (
+  SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM r GROUP BY doc_id
+), o AS (
+  SELECT d.doc_id, octet_length(t) AS n, CASE WHEN a IS NULL THEN [] ELSE a END AS a, CASE WHEN b IS NULL THEN [] ELSE b END AS b, hex(t) AS h
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(b) - list_sum(a), 0)::BIGINT AS n_removed, len(a) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(len(a) + 1), lambda j:
+         substr(h, 2 * coalesce(b[j], 0) + 1, 2 * (coalesce(a[j + 1], n) - coalesce(b[j], 0)))), ''))) AS kept_sha256
+FROM o
+"""

@@ -208,3 +208,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: all ``embeddings``, cosine 0.93 between vectors of one label."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT * FROM v WHERE list_dot_product(e, e) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) AS l ON vec_id = l.a
+LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) AS c ON vec_id = c.a
+"""
