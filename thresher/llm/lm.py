@@ -5,15 +5,17 @@ once into blocks: each holds its own vocabulary, its tokens as numbers into that
 word occurs in its training texts.  From these,
 
 1. all words are counted (block vocabularies are exploded and summed by word);
-2. the ``clustered`` most frequent words are put in classes by exchange clustering: bigrams of
-   all training texts are counted between them, and each word in turn moves to the class where the
-   class bigram likelihood is greatest, until none moves.  Other words are one class, the end another;
+2. all words are put in classes by exchange clustering: bigrams of all training texts are counted,
+   and each word in turn moves to the class where the class bigram likelihood is greatest, until
+   none moves.  The ``clustered`` most frequent words move one by one; of the others, those whose
+   last two characters hash alike move together, in ``groups`` groups.  The end is a class of its own;
 3. counts are joined back to block vocabularies, and each block scores its texts.
 
 p(w | v) = weight * p(class w | class v) * p(w | class w) + (1 - weight) * base(w), where class
-transitions are smoothed by class frequencies, a clustered word's emission is its share of its
-class, another word's is (count + 1) / (tokens of its class + its words + 1), and base is the
-unigram estimate (count + 1) / (N + V + 1).  Over all V known tokens and the unknown one, p sums to 1.
+transitions are smoothed by class frequencies and a word's emission is its share of its class.
+Unknown words are in the class of the most different words, whose emissions are
+(count + 1) / (tokens of the class + its words + 1), and base is the unigram estimate
+(count + 1) / (N + V + 1).  Over all V known tokens and the unknown one, p sums to 1.
 
 What is defined for odd input: null or empty text is an end alone; rows with a null id are trained on
 and scored with a null id; rows of one id are scored each; without training texts every count is 0;
@@ -22,6 +24,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -100,7 +103,7 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = 12) ->
     log = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(rounds):
         moved = 0
-        for w in range(movable):
+        for w in np.flatnonzero(left[:movable] + right[:movable]):
             k = of[w]
             own = float(bigrams[w, w])
             out, into = after[w].copy(), before[w].copy()
@@ -140,34 +143,47 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = 12) ->
 
 @dataclass
 class Model:
-    classes: dict[str, int]  # of the clustered words and the end
-    others: int  # the class of all other words
+    index: dict[str, int]  # of the words that move one by one, and the end
+    groups: int
+    class_of: np.ndarray  # by index, and by group from the number of words that move one by one
+    unknown: int  # the class of words that weren't in training
     transitions: np.ndarray
     class_tokens: np.ndarray
-    other_words: int
+    class_words: np.ndarray
     tokens: int
     types: int
     weight: float
 
+    @property
+    def end(self) -> int:
+        return int(self.class_of[self.index[END]])
+
     def emission(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        of = np.fromiter((self.classes.get(w, self.others) for w in words), np.int64, len(words))
-        rest = (counts + 1) / (self.class_tokens[self.others] + self.other_words + 1)
-        return of, np.where(of == self.others, rest, counts / np.maximum(self.class_tokens[of], 1))
+        of = np.where(counts > 0, self.class_of[places(words, self.index, self.groups)], self.unknown)
+        open_share = (counts + 1) / (self.class_tokens[self.unknown] + self.class_words[self.unknown] + 1)
+        return of, np.where(of == self.unknown, open_share, counts / np.maximum(self.class_tokens[of], 1))
+
+
+def places(words: list[str], index: dict[str, int], groups: int) -> np.ndarray:
+    """Of each word its index, or that of the group of its last two characters."""
+    singles = len(index) - 1  # the end comes after the groups
+    group = lambda w: singles + zlib.crc32(w[-2:].encode()) % groups
+    return np.fromiter((index[w] if w in index else group(w) for w in words), np.int64, len(words))
 
 
-def fit(tokens: DataFrame, counts: DataFrame, clustered: int = 1_000, classes: int = 48, weight: float = 0.95) -> Model:
+def fit(tokens: DataFrame, counts: DataFrame, clustered: int = 1_000, groups: int = 1_000, classes: int = 48, weight: float = 0.95) -> Model:
     """Train on all blocks; ``counts`` has word and c (greater than 0) of all training tokens."""
     total, types = counts.agg(F.sum("c"), F.count("*")).first()
     top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(clustered).collect()  # bounded by clustered
     index = {r["word"]: i for i, r in enumerate(top)}
-    other, end = len(top), len(top) + 1
+    end = len(top) + groups
     index[END] = end
     width = end + 1
 
     def pairs(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                to = np.fromiter((index.get(w, other) for w in row["words"]), np.int64, len(row["words"]))
+                to = places(row["words"], index, groups)
                 flat = to[np.frombuffer(zstandard.decompress(row["codes"]), "<i4")]
                 before = np.concatenate([[end], flat[:-1]])  # a text begins after an end
                 keep = np.repeat(np.array(row["trained"], bool), row["lengths"])
@@ -178,21 +194,31 @@ def fit(tokens: DataFrame, counts: DataFrame, clustered: int = 1_000, classes: i
     bigrams = np.zeros(width * width, np.int64)
     bigrams[summed["key"].to_numpy()] = summed["n"].to_numpy()
     bigrams = bigrams.reshape(width, width)
-    of = exchange(bigrams, classes, fixed=2)
+    of = exchange(bigrams, classes, fixed=1)
     k = int(of.max()) + 1
     member = np.zeros((width, k))
     member[np.arange(width), of] = 1
+
+    def kinds(batches):
+        for batch in batches:
+            at, n = np.unique(places(batch.column(0).to_pylist(), index, groups), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    words = np.zeros(width, np.int64)
+    for r in counts.select("word").mapInArrow(kinds, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # bounded by width
+        words[r["at"]] = r["n"]
+    class_words = (words @ member).astype(np.int64)
+    unknown = int(np.argmax(np.delete(class_words, of[end])))  # the end's class is the last
     table = member.T @ bigrams @ member
     class_tokens = table.sum(0)
     unigram = (class_tokens + 1) / (class_tokens.sum() + k)
     transitions = (table + 10 * unigram) / (table.sum(1, keepdims=True) + 10)
     # An empty class emits nothing, so it may not take a share of the transitions.
     live = class_tokens > 0
-    live[of[other]] = True
+    live[unknown] = True
     transitions = np.where(live, transitions, 0)
     transitions /= transitions.sum(1, keepdims=True)
-    named = {w: int(of[i]) for w, i in index.items()}
-    return Model(named, int(of[other]), transitions, class_tokens, (types or 0) - len(top) - int(class_tokens[of[end]] > 0), total or 0, types or 0, weight)
+    return Model(index, groups, of, unknown, transitions, class_tokens, class_words, total or 0, types or 0, weight)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_500_000, **options) -> DataFrame:
@@ -215,7 +241,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             base = (count + 1) / (model.tokens + model.types + 1)
             flat = np.frombuffer(zstandard.decompress(row["codes"]), "<i4")
             now = of[flat]
-            before = np.concatenate([[model.classes[END]], now[:-1]])
+            before = np.concatenate([[model.end], now[:-1]])
             p = model.weight * model.transitions[before, now] * emission[flat] + (1 - model.weight) * base[flat]
             ends = np.cumsum(row["lengths"])
             starts = ends - row["lengths"]
