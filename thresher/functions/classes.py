@@ -56,7 +56,7 @@ WORD = f"[^{NOT_WORD}]+"
 TRIM = f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
 LIST_LINE = r"^(?:\||[-*+] .|[0-9]+[.)] )"
 JSON_KEY = r'"[^"\n]{1,64}"[ \t]*:'
-ENTITY_SIGNAL = r"(?s)[A-Za-z].*[ \t][A-Z][a-z]"
+ENTITY_SIGNAL = r"(?s)^[^A-Za-z]*[A-Za-z].*[ \t][A-Z][a-z]"  # anchored: linear where nothing matches
 QUOTED_SIGNALS = [f"^[^{q}]*{q}[^{q}]{{3,}}{q}" for q in ("\"", "'", "`")]
 IDENTIFIER_SIGNAL = "[0-9A-Za-z][_/.-][0-9A-Za-z]"
 CODE_LINE = f"^[{SPACE_CLASS}]*(?:{'|'.join(re.escape(p) for p in CODE_PREFIXES)})".replace("\\ ", " ").replace("\\#", "#")
