@@ -166,6 +166,34 @@ def test_vectors(spark):
     assert vectors.near_duplicates(frame.limit(0)).collect() == []
 
 
+def brute_vectors(data):
+    """(n_links, component) of each id of rows (id, vector, label)."""
+    ids, labels = np.array([r[0] for r in data]), np.array([r[2] for r in data])
+    unit = np.array([r[1] for r in data], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels)
+    comp = np.where(linked, ids, ids.max() + 1).min(1)
+    while (new := np.where(linked, comp, ids.max() + 1).min(1)).tolist() != comp.tolist():
+        comp = new
+    return {int(i): (int(n), int(c)) for i, n, c in zip(ids, linked.sum(1) - 1, comp)}
+
+
+def test_vectors_close_families(spark):
+    # Families of 0.99 within and just over 0.93 between: each has more members than a list has places.
+    rng = np.random.default_rng(4)
+    data = []
+    for _ in range(4):
+        q = np.linalg.qr(rng.standard_normal((32, 3)))[0].T
+        for side in (1, -1):
+            centre = np.cos(0.183) * q[0] + side * np.sin(0.183) * q[1]
+            data += [(len(data) + i, (centre + 0.006 * rng.standard_normal(32)).tolist(), 0) for i in range(60)]
+    expected = brute_vectors(data)
+    assert len({c for _, c in expected.values()}) == 4
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(frame, leaf=16, sample=1, recall=0.0).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == expected
+
+
 def test_lm(spark, docs, empty, rows):
     from pyspark.sql import functions as F
 

@@ -8,9 +8,12 @@ Vectors are compared by cosine, in double precision, where their labels are equa
 3. NN-descent: the neighbours of each node, forwards and backwards, are tried as neighbours of
    one another, and better ones replace those in the lists, until hardly any list changes.
    Neighbours below cos(2 arccos threshold) lie between no two that should link and aren't kept;
-4. edges at the threshold join nodes to components.  A list whose last entry is still at the
-   threshold is saturated; such lists are enlarged to the node's whole component, whose links are
-   counted by matrix products in chunks of bounded size, so no pairs are written;
+4. edges at the threshold join nodes to components: of each leaf a spanning forest of all its links,
+   then those of the lists.  A list holds ``k`` neighbours of the node's own component and, besides,
+   the best of each of ``k`` other components, so a close family fills no place of another's.  While
+   a link to another component turns up, the components join and step 3 goes on; at the end no list
+   has one.  Links within components are counted by matrix products in chunks of bounded size, so no
+   pairs are written;
 5. recall is audited: a bounded sample of vectors is compared with all.  While it is below
    ``recall``, steps 2 to 4 go on with more trees.
 
@@ -42,15 +45,35 @@ def _edges(a, b, cos) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(cos, pa.float64())})
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """Of each node its k best neighbours, in both directions' edges."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    new, left, right = linked.any(1), [], []
+    while new.any():
+        level = np.array([np.argmax(new)])
+        new[level] = False
+        while len(level):
+            reached = np.flatnonzero(linked[level].any(0) & new)
+            left.append(level[np.argmax(linked[level][:, reached], axis=0)])
+            right.append(reached)
+            new[reached] = False
+            level = reached
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _best(edges: DataFrame, joined: DataFrame, own: int, other: int) -> DataFrame:
+    """Of each node its best neighbours, in both directions' edges: of its component, and one of each other component."""
+    both = edges.select("a", "b", "cos").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    for c in "ab":
+        both = both.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    both = both.select("a", F.struct("cos", "b").alias("e"), F.coalesce("cb", "b").alias("to"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("foreign"))
+    both = both.groupBy("a", "foreign", F.when(F.col("foreign"), F.col("to")).otherwise(F.col("e.b")).alias("to")).agg(F.max("e").alias("e"))
     # Each node has k edges for each tree and candidate list at most.
-    return both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "b")), asc=False), 1, k).alias("list"))
+    pick = lambda foreign, k: F.slice(F.sort_array(F.collect_list(F.when(F.col("foreign") == foreign, F.col("e"))), asc=False), 1, k)
+    return both.groupBy("a").agg(pick(False, own).alias("own"), pick(True, other).alias("other")).select("a", F.concat("own", "other").alias("list"))
 
 
-def _trees(nodes: DataFrame, counts: DataFrame, trees: range, leaf: int, k: int, floor: float, seed: int) -> DataFrame:
-    """Edges between neighbours in the leaves of random hyperplane trees."""
+def _trees(nodes: DataFrame, counts: DataFrame, trees: range, leaf: int, k: int, floor: float, threshold: float, seed: int) -> DataFrame:
+    """Edges between neighbours in the leaves of random hyperplane trees, and those that join all links of a leaf."""
 
     def place(batches):
         for batch in batches:
@@ -76,7 +99,9 @@ def _trees(nodes: DataFrame, counts: DataFrame, trees: range, leaf: int, k: int,
         best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
         a = np.repeat(np.arange(len(node)), best.shape[1])
         b, keep = best.ravel(), cos[a, best.ravel()] >= floor
-        return _edges(node[a[keep]], node[b[keep]], cos[a, b][keep])
+        left, right = _forest(cos >= threshold)
+        a, b = np.concatenate([a[keep], left]), np.concatenate([b[keep], right])
+        return _edges(node[a], node[b], cos[a, b])
 
     return placed.groupBy("tree", "label", "code", "chunk").applyInArrow(leaves, EDGE)
 
@@ -94,14 +119,18 @@ def _cosines(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(run, EDGE)
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, k: int, floor: float, rounds: int, least_change: float) -> DataFrame:
+def _entries(lists: DataFrame) -> DataFrame:
+    return lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.cos").alias("cos"))
+
+
+def _descend(lists: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, floor: float, rounds: int, least_change: float) -> DataFrame:
     for _ in range(rounds):
-        edges = lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.cos").alias("cos"))
-        # Neighbours forwards and backwards, 2 k of each node, are tried with one another.
-        around = _best(edges, 2 * k).select(F.transform("list", lambda e: e["b"]).alias("near"))
+        edges = _entries(lists)
+        # Neighbours forwards and backwards, 3 k of each node, are tried with one another.
+        around = _best(edges, joined, k, 2 * k).select(F.transform("list", lambda e: e["b"]).alias("near"))
         pairs = around.select(F.explode("near").alias("a"), "near").select("a", F.explode("near").alias("b")).where("a < b").distinct()
         tried = pairs.join(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-        new = cut(_best(edges.union(_cosines(tried, nodes, floor)), k), "lists")
+        new = cut(_best(edges.union(_cosines(tried, nodes, floor)), joined, k, k), "lists")
         same = new.join(lists.withColumnRenamed("list", "old"), "a", "left")
         change = same.agg(F.sum(F.size(F.array_except("list", F.coalesce("old", F.array().cast("array<struct<cos:double,b:bigint>>"))))), F.sum(F.size("list"))).first()
         drop_cut(lists)
@@ -111,6 +140,24 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, floor: float, rounds: i
     return lists
 
 
+def _join_all(found: DataFrame, nodes: DataFrame, k: int, floor: float, threshold: float, rounds: int, least_change: float) -> tuple[DataFrame, DataFrame]:
+    """From the edges found: (lists, components), where no list has a link to another component."""
+    joined = components(found.where(F.col("cos") >= threshold))
+    lists = cut(_best(found, joined, k, k), "lists")
+    while True:
+        lists = _descend(lists, nodes, joined, k, floor, rounds, least_change)
+        fresh = _entries(lists).where(F.col("cos") >= threshold)
+        for c in "ab":
+            fresh = fresh.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+        fresh = fresh.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+        if fresh.isEmpty():
+            return lists, joined
+        # Each turn joins two components at least, so this ends.
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh))
+        old, lists = lists, cut(_best(_entries(lists), joined, k, k), "lists")
+        drop_cut(old)
+
+
 def _component_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """Links of each node within its component: (node, links), the sum of linked nodes' weights."""
     size = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
@@ -176,17 +223,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     for _ in range(more):
         grown = None
         for dim in [r[0] for r in nodes.select("dim").distinct().collect()]:  # lengths of vectors, one as a rule
-            own = _trees(nodes.where(F.col("dim") == dim), counts, range(tried, tried + trees), leaf, k, floor, seed)
+            own = _trees(nodes.where(F.col("dim") == dim), counts, range(tried, tried + trees), leaf, k, floor, threshold, seed)
             grown = own if grown is None else grown.union(own)
         if grown is None:
             break
-        lists = cut(_best(grown if edges is None else grown.union(edges), k), "lists")
-        lists = _descend(lists, nodes, k, floor, rounds, least_change)
-        edges = lists.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.cos").alias("cos"))
-        joined = components(edges.where(F.col("cos") >= threshold))
+        found = cut(grown if edges is None else grown.union(edges), "found")
+        lists, joined = _join_all(found, nodes, k, floor, threshold, rounds, least_change)
+        # What joined components stays joined in the next turn.
+        edges = _entries(lists).union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(threshold).alias("cos")).where("a <> b"))
         members = nodes.join(joined, "node").select("node", "component", "weight", "unit")
         links = cut(_component_links(members, threshold, chunk), "links")
-        tables += [lists, links]
+        tables += [found, lists, links]
         tried += trees
         if _audit(nodes, links, threshold, sample) >= recall:
             break
