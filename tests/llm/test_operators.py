@@ -194,6 +194,28 @@ def test_vectors_close_families(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == expected
 
 
+def test_vectors_isolated_pairs(spark):
+    # Pairs just over the threshold without any other neighbours; leaves so small that eight trees miss some.
+    rng = np.random.default_rng(6)
+    data = []
+    for _ in range(150):
+        u, v = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+        data += [(len(data) + i, w.tolist(), 0) for i, w in enumerate((u, 0.935 * u + np.sqrt(1 - 0.935**2) * v))]
+    data += [(len(data) + i, rng.standard_normal(48).tolist(), 0) for i in range(1_700)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(frame, leaf=4).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_vectors(data)
+    with pytest.raises(RuntimeError, match="the audit found"):
+        vectors.near_duplicates(frame, leaf=2, trees=1, pair_recall=0.0, more=1)
+
+
+def test_vectors_tree_count():
+    for depth in (0, 3, 6, 10, 17):
+        n = int(vectors.tree_count(np.array([depth]), 0.93, 0.999, 8)[0])
+        missed = (1 - 0.88021**depth) ** n
+        assert n >= 8 and missed <= 0.001
+
+
 def test_lm(spark, docs, empty, rows):
     from pyspark.sql import functions as F
 

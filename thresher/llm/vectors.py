@@ -4,7 +4,9 @@ Vectors are compared by cosine, in double precision, where their labels are equa
 
 1. equal vectors of a label are one node with a weight;
 2. a first neighbour graph comes from random hyperplane trees: each tree cuts a label's vectors
-   into leaves, and each leaf (in chunks of bounded size) gives its members' best ``k`` neighbours;
+   into leaves, and each leaf (in chunks of bounded size) gives its members' best ``k`` neighbours.
+   A label has as many trees as keep a pair at the threshold in one leaf with ``pair_recall``, so
+   that pairs with no other neighbours, which the descent can't reach, are found at any size;
 3. NN-descent: the neighbours of each node, forwards and backwards, are tried as neighbours of
    one another, and better ones replace those in the lists, until hardly any list changes.
    Neighbours below cos(2 arccos threshold) lie between no two that should link and aren't kept;
@@ -14,8 +16,10 @@ Vectors are compared by cosine, in double precision, where their labels are equa
    a link to another component turns up, the components join and step 3 goes on; at the end no list
    has one.  Links within components are counted by matrix products in chunks of bounded size, so no
    pairs are written;
-5. recall is audited: a bounded sample of vectors is compared with all.  While it is below
-   ``recall``, steps 2 to 4 go on with more trees.
+5. recall is audited: a sample of vectors, enlarged until ``enough`` of them have links, is compared with
+   all.  Vectors count alike, however many links they have, and those with fewer than ``k`` links are
+   judged apart.  While either share is below ``recall``, steps 2 to 4 go on with more trees; if it
+   still is after ``more`` turns, the job fails with the figure.
 
 What is defined for odd input: a vector that is null, empty, zero or has a null or non-finite component,
 or whose label is null, links with nothing and is its own component; so does one whose length differs
@@ -45,6 +49,16 @@ def _edges(a, b, cos) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(cos, pa.float64())})
 
 
+def _unit(column, norm) -> np.ndarray:
+    return _matrix(column).astype(float) / norm.to_numpy()[:, None]
+
+
+def tree_count(depth: np.ndarray, threshold: float, pair_recall: float, least: int) -> np.ndarray:
+    """How many trees of a depth keep a pair at the threshold in one leaf at least once, with ``pair_recall``."""
+    apart = np.maximum(1 - (1 - np.arccos(threshold) / np.pi) ** depth, 1e-300)
+    return np.maximum(least, np.ceil(np.log(1 - pair_recall) / np.minimum(np.log(apart), -1e-300))).astype(int)
+
+
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     new, left, right = linked.any(1), [], []
@@ -72,28 +86,31 @@ def _best(edges: DataFrame, joined: DataFrame, own: int, other: int) -> DataFram
     return both.groupBy("a").agg(pick(False, own).alias("own"), pick(True, other).alias("other")).select("a", F.concat("own", "other").alias("list"))
 
 
-def _trees(nodes: DataFrame, counts: DataFrame, trees: range, leaf: int, k: int, floor: float, threshold: float, seed: int) -> DataFrame:
+def _trees(nodes: DataFrame, counts: DataFrame, trees: int, pair_recall: float, turn: int, leaf: int, k: int, floor: float, threshold: float, seed: int) -> DataFrame:
     """Edges between neighbours in the leaves of random hyperplane trees, and those that join all links of a leaf."""
 
     def place(batches):
         for batch in batches:
-            x, depth = _matrix(batch.column(2)), batch.column(3).to_numpy()
-            for t in trees:
-                planes = np.random.default_rng([seed, t]).standard_normal((x.shape[1], 40))
-                bits = (x @ planes > 0).astype(np.int64)
-                code = (bits * (1 << np.arange(40)) * (np.arange(40) < depth[:, None])).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), batch.column(0), batch.column(1), batch.column(2)], names=["tree", "code", "node", "label", "unit"])
+            x, depth = _matrix(batch.column(2)).astype(float), batch.column(4).to_numpy()
+            need = tree_count(depth, threshold, pair_recall, trees)
+            for t in range(need.max(initial=0)):
+                planes = np.random.default_rng([seed, turn, t]).standard_normal((x.shape[1], 40))
+                at = np.flatnonzero(need > t)
+                bits = (x[at] @ planes > 0).astype(np.int64)
+                code = (bits * (1 << np.arange(40)) * (np.arange(40) < depth[at][:, None])).sum(1)
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(code), *part.columns[:4]], names=["tree", "code", "node", "label", "vec", "norm"])
 
     depth = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / leaf)))).cast("int").alias("depth")
-    placed = nodes.join(counts, ["label", "dim"]).select("node", "label", "unit", depth)
-    placed = placed.mapInArrow(place, "tree int, code long, node long, label int, unit array<double>")
+    placed = nodes.join(counts, ["label", "dim"]).select("node", "label", "vec", "norm", depth)
+    placed = placed.mapInArrow(place, f"tree int, code long, node long, label int, vec {nodes.schema['vec'].dataType.simpleString()}, norm double")
     # A leaf may still be large where many vectors are close: its chunks meet in the other trees and in the descent.
     crowd = placed.groupBy("tree", "label", "code").agg(F.count("*").alias("n"))
     chunk = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / (2 * leaf))).cast("int").alias("chunk")
-    placed = placed.join(maybe_broadcast(crowd, 32), ["tree", "label", "code"]).select("tree", "label", "code", chunk, "node", "unit")
+    placed = placed.join(maybe_broadcast(crowd, 32), ["tree", "label", "code"]).select("tree", "label", "code", chunk, "node", "vec", "norm")
 
     def leaves(table: pa.Table) -> pa.Table:
-        node, x = table["node"].to_numpy(), _matrix(table["unit"])
+        node, x = table["node"].to_numpy(), _unit(table["vec"], table["norm"])
         cos = x @ x.T
         np.fill_diagonal(cos, -2)
         best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
@@ -108,15 +125,15 @@ def _trees(nodes: DataFrame, counts: DataFrame, trees: range, leaf: int, k: int,
 
 def _cosines(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     """The pairs (a, b) of at least ``floor``, with their cosine."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}")) for c in "ab")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("vec").alias(f"u{c}"), F.col("norm").alias(f"n{c}")) for c in "ab")
 
     def run(batches):
         for batch in batches:
-            cos = np.einsum("ij,ij->i", _matrix(batch.column(2)), _matrix(batch.column(3)))
+            cos = np.einsum("ij,ij->i", _unit(batch.column(2), batch.column(4)), _unit(batch.column(3), batch.column(5)))
             keep = pa.array(cos >= floor)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(cos).filter(keep)], names=["a", "b", "cos"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(run, EDGE)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub", "na", "nb").mapInArrow(run, EDGE)
 
 
 def _entries(lists: DataFrame) -> DataFrame:
@@ -162,10 +179,10 @@ def _component_links(members: DataFrame, threshold: float, chunk: int) -> DataFr
     """Links of each node within its component: (node, links), the sum of linked nodes' weights."""
     size = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
     rows = members.join(size, "component").withColumn("n", F.ceil(F.col("m") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "node", "weight", "unit")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "node", "weight", "vec", "norm")
 
     def run(table: pa.Table) -> pa.Table:
-        node, side, weight, x = table["node"].to_numpy(), table["side"].to_numpy(), table["weight"].to_numpy(), _matrix(table["unit"])
+        node, side, weight, x = table["node"].to_numpy(), table["side"].to_numpy(), table["weight"].to_numpy(), _unit(table["vec"], table["norm"])
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         at, to = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         linked = x[at] @ x[to].T >= threshold
@@ -179,31 +196,44 @@ def _component_links(members: DataFrame, threshold: float, chunk: int) -> DataFr
     return rows.groupBy("component", "lo", "hi").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
-    """The share of a sample's links that were found; the sample is compared with all nodes."""
-    probes = nodes.select("node", "label", "dim", "weight", "unit").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(sample).toArrow()  # bounded by sample
-    if not probes.num_rows:
-        return 1.0
-    ids, labels, dims = (probes[c].to_numpy() for c in ("node", "label", "dim"))
-    by_dim = {d: (np.flatnonzero(dims == d), _matrix(probes.filter(pa.array(dims == d))["unit"])) for d in set(dims.tolist())}
-
-    def run(batches):
-        for batch in batches:
-            total = np.zeros(len(ids), np.int64)
-            node, label, dim, weight = (batch.column(i).to_numpy() for i in range(4))
-            for d, (at, x) in by_dim.items():
-                mine = np.flatnonzero(dim == d)
-                if len(mine):
-                    hit = (x @ _matrix(batch.column(4).take(pa.array(mine))).T >= threshold) & (labels[at][:, None] == label[mine]) & (ids[at][:, None] != node[mine])
-                    total[at] += hit @ weight[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])
-
-    truth = nodes.select("node", "label", "dim", "weight", "unit").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    found = truth.join(links, "node", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not found[0] else found[1] / found[0]
+def _audit(nodes: DataFrame, links: DataFrame, threshold: float, few: int, sample: int, enough: int, most: int) -> float:
+    """The mean share of links found of a sample's vectors that have some, which are compared with all nodes.
 
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", k: int = 8, trees: int = 8, leaf: int = 128, rounds: int = 4, least_change: float = 0.002, chunk: int = 1_000, sample: int = 256, recall: float = 0.98, more: int = 3, seed: int = 1) -> DataFrame:
+    The sample grows up to ``most`` until ``enough`` of them have links.  Of vectors with fewer than ``few`` links
+    and of the others, it is the smaller share.
+    """
+    total = nodes.count()
+    while True:
+        probes = nodes.select("node", "label", "dim", "vec", "norm").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(sample).toArrow()  # bounded by most
+        kinds = {}
+        for kind in set(zip(probes["label"].to_pylist(), probes["dim"].to_pylist())):
+            at = np.flatnonzero((probes["label"].to_numpy() == kind[0]) & (probes["dim"].to_numpy() == kind[1]))
+            part = probes.take(pa.array(at))
+            kinds[kind] = part["node"].to_numpy(), _unit(part["vec"], part["norm"])
+
+        def run(batches, kinds=kinds):
+            sums = {kind: np.zeros(len(ids), np.int64) for kind, (ids, _) in kinds.items()}
+            for batch in batches:
+                node, label, dim, weight = (batch.column(i).to_numpy() for i in range(4))
+                for kind, (ids, x) in kinds.items():
+                    mine = np.flatnonzero((label == kind[0]) & (dim == kind[1]))
+                    step = max(1, 4_000_000 // len(ids))
+                    for s in range(0, len(mine), step):
+                        at = mine[s : s + step]
+                        hit = (x @ _unit(batch.column(4).take(pa.array(at)), batch.column(5).take(pa.array(at))).T >= threshold) & (ids[:, None] != node[at])
+                        sums[kind] += hit @ weight[at]
+            for kind, (ids, _) in kinds.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[kind])], names=["node", "n"])
+
+        truth = nodes.select("node", "label", "dim", "weight", "vec", "norm").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
+        share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+        found = truth.join(links, "node", "left").groupBy((F.col("n") < few).alias("few")).agg(F.count("*").alias("n"), F.avg(share).alias("share")).collect()
+        if sum(r["n"] for r in found) >= enough or sample >= min(total, most):
+            return min((r["share"] for r in found), default=1.0)
+        sample = min(4 * sample, most)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", k: int = 8, trees: int = 8, leaf: int = 128, rounds: int = 4, least_change: float = 0.002, chunk: int = 1_000, sample: int = 256, enough: int = 100, most: int = 16_384, recall: float = 0.98, pair_recall: float = 0.999, more: int = 3, seed: int = 1) -> DataFrame:
     """Of each vector: vec_id, n_links, component_id (long), kept (boolean: it is its component's smallest id)."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -214,16 +244,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     usable = rows.where("h1 IS NOT NULL")
     # Equal vectors share a class; partial sums come before the exchange, so copies are few rows.
     nodes = usable.groupBy("h1", "h2", "label", "norm", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-    unit = F.transform("v", lambda x: x / F.col("norm"))
-    nodes = cut(nodes.select("node", "label", "weight", F.size("v").alias("dim"), "h1", "h2", unit.alias("unit")), "nodes")
+    # Single-precision input is kept so, and made double where it is compared.
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    vec = F.col("v").cast("array<float>" if single else "array<double>").alias("vec")
+    nodes = cut(nodes.select("node", "label", "weight", F.size("v").alias("dim"), "h1", "h2", vec, "norm"), "nodes")
     counts = maybe_broadcast(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), 24)
     floor = 2 * threshold * threshold - 1
 
-    tried, edges, links, joined, tables = 0, None, None, None, []
-    for _ in range(more):
+    edges, links, joined, share, tables = None, None, None, 1.0, []
+    for turn in range(more):
         grown = None
         for dim in [r[0] for r in nodes.select("dim").distinct().collect()]:  # lengths of vectors, one as a rule
-            own = _trees(nodes.where(F.col("dim") == dim), counts, range(tried, tried + trees), leaf, k, floor, threshold, seed)
+            own = _trees(nodes.where(F.col("dim") == dim), counts, trees, pair_recall, turn, leaf, k, floor, threshold, seed)
             grown = own if grown is None else grown.union(own)
         if grown is None:
             break
@@ -231,12 +263,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         lists, joined = _join_all(found, nodes, k, floor, threshold, rounds, least_change)
         # What joined components stays joined in the next turn.
         edges = _entries(lists).union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(threshold).alias("cos")).where("a <> b"))
-        members = nodes.join(joined, "node").select("node", "component", "weight", "unit")
+        members = nodes.join(joined, "node").select("node", "component", "weight", "vec", "norm")
         links = cut(_component_links(members, threshold, chunk), "links")
         tables += [found, lists, links]
-        tried += trees
-        if _audit(nodes, links, threshold, sample) >= recall:
+        share = _audit(nodes, links, threshold, k, sample, enough, most)
+        if share >= recall:
             break
+    if share < recall:
+        raise RuntimeError(f"vectors: the audit found {share:.4f} of the links after {more} turns, not {recall}")
 
     found = nodes.select("node", "weight", "h1", "h2")
     if links is None:
