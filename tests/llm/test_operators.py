@@ -407,3 +407,19 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: c for x, c in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_toxicity_rare_terms(spark):
+    # 60 terms, each in 16 of 960 toxic documents (1.7 %), and one by chance in 3 toxic ones.
+    slurs = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}zqzq" for i in range(60)]
+    rnd = random.Random(8)
+    data = [(i, prose(rnd, 12) + " " + slurs[i % 60] + (" chancex" if i < 3 else ""), 1) for i in range(960)]
+    data += [(1_000 + i, prose(rnd, 12), 0) for i in range(960)]
+    sample = spark.createDataFrame(data, "id long, text string, label int").select("text", "label")
+    terms = toxicity._terms(sample, 3, 0.02, 20.0, 2_000)
+    known = lambda w, terms: w in terms or any(w.startswith(s[:-1]) for s in terms if s.endswith("*"))
+    assert all(known(w, terms) for w in slurs) and not known("chancex", terms)
+    # Where max_terms binds, the terms of most evidence stay, though they are long.
+    data += [(2_000 + i, "verylongcommonslur", 1) for i in range(100)]
+    sample = spark.createDataFrame(data, "id long, text string, label int").select("text", "label")
+    assert known("verylongcommonslur", toxicity._terms(sample, 3, 0.0, 10.0, 2))

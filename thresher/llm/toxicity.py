@@ -151,14 +151,25 @@ def _terms(sample: DataFrame, min_docs: int, min_share: float, min_odds: float,
     if not toxic or not clean:
         return {}
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    kept = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= max(min_docs, min_share * toxic)) & (odds >= min_odds))
-    # The model is bounded by max_terms, whatever the sample.
-    rows = kept.withColumn("odds", odds).orderBy(F.length("term"), F.desc("toxic"), "term").limit(max_terms).collect()
-    terms: dict[str, float] = {}
-    for r in rows:  # by length, so a stem comes before the words that it stands for
-        if not any(r["term"].startswith(s[:-1]) for s in terms if s.endswith("*")):
-            terms[r["term"]] = float(np.log(r["odds"]))
-    return terms
+    kept = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= min_docs)
+    # Evidence is the Chernoff bound, as a negative logarithm, on so large a toxic share by chance.  A rare term is
+    # kept if less than one of all candidates is expected to reach that, a common one by its odds alone.
+    base, q = toxic / (toxic + clean), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    evidence = F.col("toxic") * F.log(q / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - q) / (1 - base))).otherwise(0.0)
+    kept = kept.withColumns({"odds": odds, "evidence": evidence})
+    candidates = kept.count()
+    kept = kept.where((F.col("odds") >= min_odds) & ((F.col("toxic") >= min_share * toxic) | (F.col("evidence") >= float(np.log(max(candidates, 1))))))
+    # The model is bounded by max_terms, whatever the sample; the terms of most evidence come first.
+    rows = kept.orderBy(F.desc("evidence"), F.length("term"), "term").limit(20 * max_terms).collect()  # bounded by max_terms
+    stems: set[str] = set()
+    terms = []
+    for r in sorted(rows, key=lambda r: (len(r["term"]), -r["toxic"], r["term"])):  # by length, so a stem comes before the words that it stands for
+        if not any(r["term"][:k] in stems for k in STEMS):
+            terms.append(r)
+            if r["term"].endswith("*"):
+                stems.add(r["term"][:-1])
+    terms = sorted(terms, key=lambda r: (-r["evidence"], len(r["term"]), r["term"]))[:max_terms]
+    return {r["term"]: float(np.log(r["odds"])) for r in sorted(terms, key=lambda r: (len(r["term"]), -r["toxic"], r["term"]))}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
