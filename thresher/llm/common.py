@@ -14,9 +14,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or an own one where it is unset on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="thresher-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,6 +41,16 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that takes far longer than reading: a table of fewer splits than cores is dealt out to all of them.
+
+    Rows go by a hash of all columns, so a task that runs again deals them out as before; a table of more splits,
+    as any large one is, stays as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, F.xxhash64(*df.columns)) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -57,7 +69,7 @@ def ascii_lower(col: Column) -> Column:
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table already cut has so few rows that it may be broadcast."""
+    """Whether a table has so few rows that it may be broadcast; they are counted, so it should be cut or cheap to read."""
     return df.count() * row_bytes <= limit
 
 
