@@ -81,7 +81,7 @@ def test_decontaminate(spark, docs, empty, rows):
     assert sum(r["n_hit"] for r in decontaminate.find_contamination(docs, bench.limit(0)).collect()) == 0
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 50), (1, 10), (3, 100)])
 def test_jaccard(spark, rows, empty, n, percent):
     rnd = random.Random(n)
     base = prose(rnd, 120).split()
@@ -92,6 +92,7 @@ def test_jaccard(spark, rows, empty, n, percent):
             w[rnd.randrange(len(w))] = rnd.choice(WORDS)
         family.append((500 + i, " ".join(w), "f"))
     family.append((None, " ".join(base), "f"))
+    family += [(600 + k, " ".join(f"w{i}" for i in range(10 ** (k + 1))), "s") for k in range(3)]  # one inside the other: a tenth at 1 word
     data = rows + family
     found = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA), n, percent, block_bytes=20_000, bucket_rows=300, chunk=17).collect()
     sets = {}
@@ -105,17 +106,23 @@ def test_jaccard(spark, rows, empty, n, percent):
             x = root[x]
         return x
 
-    ids = sorted(root)
+    ids, rows_of = sorted(root), Counter(i for i, _, _ in data)
+    links = {i: rows_of[i] - 1 if sets[i] else 0 for i in ids}
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            if a != b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 p, q = sorted((find(a), find(b)))
-                root[q] = p
+                if p != q:
+                    root[q] = p
+                links[a] += rows_of[b]
     assert len(found) == len(data)
     for r in found:
         assert r["n_shingles"] == len(sets[r["doc_id"]])
         assert r["component_id"] == (None if r["doc_id"] is None else find(r["doc_id"]))
+        assert r["n_links"] == links.get(r["doc_id"])
+    if n == 1:
+        assert find(602) == find(601) == find(600)
     assert jaccard.jaccard_components(empty).collect() == []
 
 
@@ -265,6 +272,21 @@ def test_exchange_gains():
     assert len({(a, b) for a, b in zip(found, of[perm])}) == kinds
 
 
+@pytest.mark.parametrize("percent", [10, 33, 50, 80, 90, 99])
+def test_length_bounds(percent):
+    bounds = jaccard.length_bounds(30_000, percent)
+    of = lambda size: sum(b <= size for b in bounds)
+    for size in range(1, 30_000, 7):
+        assert of(size) <= of(min(30_000, 100 * size // percent)) <= of(size) + 1
+
+
+def test_prints_in_steps():
+    data = np.random.default_rng(2).integers(0, 256, 5_000, dtype=np.uint8)
+    at = np.sort(np.random.default_rng(3).choice(4_900, 700, replace=False))
+    whole = substrings.Prints(data, substrings.BASES[0]).of(at, 100)
+    assert (substrings.prints_at(data, at, 100, substrings.BASES[0], step=333) == whole).all()
+
+
 @pytest.mark.parametrize(("block", "bucket"), [(10**7, 10**6), (3_000, 200)])
 def test_substrings(docs, empty, rows, block, bucket):
     for length in (200, 30):

@@ -78,6 +78,11 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
+def grown(total: int, *bounds: int, beyond: int = 32 << 30, most: int = 16) -> list[int]:
+    """Bounds of blocks and buckets: beyond so many bytes they grow with the square root of the total, up to ``most`` times."""
+    return [int(b * min(most, max(1.0, (total / beyond) ** 0.5))) for b in bounds]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each run, one run after the other."""
     total = int(lengths.sum())

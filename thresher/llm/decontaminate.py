@@ -32,13 +32,15 @@ from .common import cut, drop_cut, maybe_broadcast, row_key, spread, text_of
 
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 SHINGLE = 3
-#: The words of a text before A-Z are lower-cased.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def word_hashes(text: Column) -> Column:
+def words(text: Column) -> Column:
     image = F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
-    return F.transform(F.array_remove(F.split(image, "[\\x00-/:-`{-\\x7F]+", -1), ""), lambda x: F.xxhash64(x))
+    return F.array_remove(F.split(image, "[\\x00-/:-`{-\\x7F]+", -1), "")
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def _shingles(w: Column, k: int) -> Column:
@@ -107,7 +109,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     which = hits.groupBy(*doc).agg(F.sort_array(F.collect_set("item")).alias("items"))
     judged = positions.alias("x").join(which.alias("y"), F.col("x.__id").eqNullSafe(F.col("y.__id")) & (F.col("x.__key") == F.col("y.__key"))).select("x.__id", "x.__key", "n_hit", "items")
 
-    left = docs.withColumns({"__key": row_key(id_col, text_col), "n_words": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")})
+    left = docs.withColumns({"__key": row_key(id_col, text_col), "n_words": F.size(words(text_of(text_col))).cast("long")})
     out = left.join(judged, left[id_col].eqNullSafe(judged["__id"]) & (left["__key"] == judged["__key"]), "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     out = out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})

@@ -19,6 +19,9 @@ A document's set is its distinct shingles of ``n`` words (``[^\x20\x09-\x0D]+``
 Only links that join components are kept, so a group of m copies costs about m links.  The
 result is exact: every pair of different texts that links ends in the same component.
 
+5. each document's links are counted within its component, by products of shingle matrices in pairs of
+   chunks of bounded size; no pair is written.
+
 What is defined for odd input: null or empty text and text of white space alone have an empty
 set and link with nothing; rows of one id are one node; a row with a null id takes part in no
 link and has a null component; an empty table gives an empty table.
@@ -26,15 +29,13 @@ link and has a null component; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut, drop_cut, maybe_broadcast, row_key, text_of
+from .common import bound_batches, components, cut, drop_cut, grown, maybe_broadcast, row_key, text_of
 from .substrings import BASES, Prints, _table, in_buckets, pack, unpack
 
 SENT = "bucket int, block int, n long, data binary"
@@ -45,8 +46,15 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], n: int, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints of each text's shingles, one text after the other, and their numbers."""
+    lengths, done = np.cumsum([len(t or "") for t in texts]), []
+    for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(lengths // step)) + 1):  # tables are kept for about ``step`` characters
+        done.append(_shingle_sets([texts[i] for i in piece], n))
+    return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+
+
+def _shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode().lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
@@ -89,7 +97,7 @@ def _block(left: pa.Table, n: int, bits: int):
 
 def _count_bucket(sent: pa.Table) -> pa.Table:
     rows = sent.to_pylist()
-    parts = [unpack(r["data"], r["n"], True) for r in rows]
+    parts = [unpack(r["data"], r["n"], "<u2") for r in rows]
     known, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(np.float64))
     rank = (1 + np.floor(np.log2(total))).astype(np.uint8)[inverse]  # 1: a single document, 2: two or three, ...
@@ -102,6 +110,7 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes, bucket_rows = grown(total, block_bytes, bucket_rows)
     blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // (7 * bucket_rows)))
     # Shortened fingerprints only order shingles: two that fall together are both taken for less rare.
     bits = min(63, 18 + max(1, total).bit_length())
@@ -109,9 +118,8 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
     def send(left: pa.Table) -> pa.Table:
         _, _, _, known, _, count = _block(left, n, bits)
-        _, bounds = in_buckets(known, buckets)
+        _, cuts = in_buckets(known, buckets)
         number, more = left["block"][0].as_py(), np.minimum(count, 65535).astype(np.uint16)
-        cuts = [(b, int(bounds[b]), int(bounds[b + 1])) for b in range(buckets) if bounds[b + 1] > bounds[b]]
         return _table(SENT, [(b, number, e - a, pack(known[a:e], more[a:e])) for b, a, e in cuts])
 
     back = texts.applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_count_bucket, BACK)
@@ -120,12 +128,13 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         out: list[tuple] = []
         if left.num_rows:
             rows, marks, sizes, known, inverse, _ = _block(left, n, bits)
-            _, bounds = in_buckets(known, buckets)
+            places = {b: (a, e) for b, a, e in in_buckets(known, buckets)[1]}
             rank = np.zeros(len(known), np.uint8)
             for b, size, data in zip(*(right[c].to_pylist() for c in ("bucket", "n", "data"))):
-                if bounds[b + 1] - bounds[b] != size:
+                a, e = places.get(b, (0, 0))
+                if e - a != size:
                     raise RuntimeError("a block's rows changed between two passes")
-                rank[bounds[b] : bounds[b + 1]] = np.frombuffer(zstandard.decompress(data), np.uint8)
+                rank[a:e] = np.frombuffer(zstandard.decompress(data), np.uint8)
             ranks = rank[inverse]
             home = np.repeat(np.arange(len(rows)), sizes)
             order = np.lexsort((marks, ranks, home))
@@ -147,6 +156,17 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     return texts.cogroup(back.groupBy("block")).applyInArrow(finish, SETS)
 
 
+def length_bounds(largest: int, percent: int) -> list[int]:
+    """The least size of each length class: sets that link are in one class or in two that follow each other.
+
+    A set of a size below bound k + 1 links with none of bound k + 2 or more: 100 * (bound k + 1) < percent * (bound k + 2).
+    """
+    out = [1]
+    while out[-1] <= largest:
+        out.append(100 * out[-1] // percent + 1)
+    return out
+
+
 def _linked(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -168,19 +188,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _members_links(percent: int, slab: int = 512):
-    """Links between members of one bucket, as many as join its components."""
+class Chunk:
+    """Shingle sets of some members, and which pairs of them link, by products of slabs of their matrix."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted({(r["rep"], r["component"], r["side"]): r["tokens"] for r in table.select(["rep", "component", "side", "tokens"]).to_pylist()}.items())
-        sets = [np.frombuffer(t, np.uint64) for _, t in rows]
-        size = np.array([len(s) for s in sets], np.int64)
-        flat, home = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        known, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    def __init__(self, tokens: list[bytes], percent: int, slab: int = 512):
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+        self.size, self.percent = np.array([len(s) for s in sets], np.int64), percent
+        known, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         column = np.cumsum(count > 1) - 1  # a shingle of one member adds to no intersection
-        width = int(column[-1]) + 1
+        self.width = int(column[-1]) + 1
         keep = count[inverse] > 1
-        at, to = home[keep], column[inverse[keep]]
+        self.at, self.to = np.repeat(np.arange(len(sets)), self.size)[keep], column[inverse[keep]]
+        self.rows = max(1, min(slab, 8_000_000 // max(1, self.width)))
+
+    def _matrix(self, a: int, b: int) -> np.ndarray:
+        m = np.zeros((b - a, self.width), np.float32)
+        lo, hi = np.searchsorted(self.at, (a, b))
+        m[self.at[lo:hi] - a, self.to[lo:hi]] = 1
+        return m
+
+    def linked(self):
+        """(first row, first column, matrix of links) of all pairs of slabs with row <= column."""
+        n = len(self.size)
+        for a in range(0, n, self.rows):
+            left = self._matrix(a, min(a + self.rows, n))
+            for b in range(a, n, self.rows):
+                right = left if b == a else self._matrix(b, min(b + self.rows, n))
+                inter = (left @ right.T).astype(np.int64)
+                yield a, b, _linked(inter, self.size[a : a + len(left), None], self.size[None, b : b + len(right)], self.percent)
+
+
+def _members_links(percent: int):
+    """Links between members of one bucket, as many as join its components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted({(r["rep"], r["component"]): r["tokens"] for r in table.select(["rep", "component", "tokens"]).to_pylist()}.items())
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -188,45 +230,67 @@ def _members_links(percent: int, slab: int = 512):
                 x = root[x]
             return x
 
-        links, group = [], [c for (_, c, _), _ in rows]
-        cells = max(1, 8_000_000 // max(1, width))
-        slab_rows = max(1, min(slab, cells))
-
-        def matrix(a: int, b: int) -> np.ndarray:
-            m = np.zeros((b - a, width), np.float32)
-            lo, hi = np.searchsorted(at, (a, b))
-            m[at[lo:hi] - a, to[lo:hi]] = 1
-            return m
-
-        for a in range(0, len(sets), slab_rows):
-            left = matrix(a, min(a + slab_rows, len(sets)))
-            for b in range(a, len(sets), slab_rows):
-                right = left if b == a else matrix(b, min(b + slab_rows, len(sets)))
-                inter = (left @ right.T).astype(np.int64)
-                hits = _linked(inter, size[a : a + len(left), None], size[None, b : b + len(right)], percent)
-                for x, y in np.argwhere(hits).tolist():
-                    x, y = x + a, y + b
-                    if x < y and (p := find(group[x])) != (q := find(group[y])):
-                        root[p] = q
-                        links.append((rows[x][0][0], rows[y][0][0]))
+        links, group = [], [c for (_, c), _ in rows]
+        for a, b, hits in Chunk([t for _, t in rows], percent).linked():
+            for x, y in np.argwhere(hits).tolist():
+                x, y = x + a, y + b
+                if x < y and (p := find(group[x])) != (q := find(group[y])):
+                    root[p] = q
+                    links.append((rows[x][0][0], rows[y][0][0]))
         return _table("a long, b long", links)
 
     return run
 
 
+def _chunk_pairs(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """``rows`` (with members, the number of its group's) dealt out to all pairs of their group's chunks: lo, hi and side added."""
+    rows = rows.withColumn("n", F.ceil(F.col("members") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "rep", *[c for c in ("component", "weight") if c in rows.columns and c not in keys])
+
+
+def _link_counts(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Of members (rep, component, weight) of components of several: (rep, links), the weights of those that each links with."""
+    size = members.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    shipped = _chunk_pairs(members.join(size, "component"), ["component"], chunk).join(sets.select("rep", "tokens"), "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rep", "ascending")])
+        side, weight = table["side"].to_numpy(), table["weight"].to_numpy()
+        one = table["lo"][0] == table["hi"][0]
+        links = np.zeros(table.num_rows, np.int64)
+        for a, b, hits in Chunk(table["tokens"].to_pylist(), percent).linked():
+            x, y = slice(a, a + hits.shape[0]), slice(b, b + hits.shape[1])
+            if not one:  # pairs within a chunk are counted where it meets itself
+                hits = hits & (side[x, None] != side[None, y])
+            elif a == b:
+                hits = hits & ~np.eye(len(hits), dtype=bool)
+            links[x] += hits @ weight[y]
+            if a != b:
+                links[y] += hits.T @ weight[x]
+        return pa.table({"rep": table["rep"], "links": pa.array(links)})
+
+    return shipped.groupBy("component", "lo", "hi").applyInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_rows: int = 1_000_000, chunk: int = 1_500) -> DataFrame:
-    """Of each document: doc_id, n_shingles (long), component_id (long, the smallest id reachable by links)."""
+    """Of each document: doc_id, n_shingles (long), component_id (long, the smallest id reachable by links), n_links (long).
+
+    Documents are counted by rows: n_links is the number of other rows with an id that link directly.
+    """
     all_sets = cut(candidate_sets(docs, n, percent, id_col, text_col, block_bytes, bucket_rows), "sets")
     found = all_sets.where("tokens IS NOT NULL")
     same = ["size", "s1", "s2"]
-    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
     reps = found.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", *same]).groupBy("rep", "size").agg(F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
     groups = reps.groupBy("size", "prefix").agg(F.min("rep").alias("gid"))
     sets = cut(reps.join(groups, ["size", "prefix"]), "reps")
 
-    # Length classes: sets that link are in one class or in two that follow each other.
-    step = math.log(100 / percent) if percent < 100 else 1.0
-    class_of = F.floor(F.log("size") / step).cast("int")
+    if percent == 100:
+        class_of = F.col("size").cast("int")
+    else:
+        bounds = length_bounds(classes.agg(F.max("size")).first()[0] or 0, percent)
+        class_of = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("size")))
     leaders = sets.where("rep = gid").select("gid", "size", F.explode(F.array_distinct("prefix")).alias("token"))
     placed = leaders.select("token", "gid", F.explode(F.array(class_of, class_of + 1)).alias("length"))
     mark = F.xxhash64("gid")
@@ -247,19 +311,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     open_groups = span.where("lo <> hi AND members > 1").select("gid", F.col("gid").alias("token"), F.lit(-1).alias("length"), "members")
     rows = met.select("token", "length", "gid").join(open_buckets, ["token", "length"]).select("gid", "token", "length", "members").union(open_groups)
     # A bucket of more than ``chunk`` members is taken in pairs of chunks, so a task's memory is bounded.
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    rows = rows.join(members, "gid").withColumn("n", chunks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("token", "length", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "rep", "component")
+    rows = _chunk_pairs(rows.join(members, "gid"), ["token", "length"], chunk)
     shipped = rows.join(sets.select("rep", "tokens"), "rep")
     more = shipped.groupBy("token", "length", "lo", "hi").applyInArrow(_members_links(percent), "a long, b long")
     more = cut(more, "links")
     joined = components(links.union(more))
 
-    rep_component = node(classes.select("rep", *same), "rep").select(*same, "component")
-    out = all_sets.select("doc_id", *same).join(maybe_broadcast(rep_component, 40), same, "left")
-    result = cut(out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for table in (all_sets, classes, sets, met, links, members, more):
+    homes = cut(node(classes.select("rep", "weight", *same), "rep"), "homes")
+    counts = _link_counts(homes.select("rep", "component", "weight"), sets, percent, chunk)
+    homes_links = cut(homes.join(counts, "rep", "left").select(*same, "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "links")
+    out = all_sets.select("doc_id", *same).join(maybe_broadcast(homes_links, 48), same, "left")
+    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    result = cut(out, "components")
+    for table in (all_sets, classes, sets, met, links, members, more, homes, homes_links):
         drop_cut(table)
     return result
 
@@ -285,7 +349,8 @@ WITH RECURSIVE w AS (
 ), r AS (
   SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
 )
-SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
 FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) AS k ON documents.doc_id = k.a
 LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) AS c ON documents.doc_id = c.a
 """

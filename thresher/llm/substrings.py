@@ -9,13 +9,14 @@ share their first ``length - v + 1`` bytes.  The steps:
    on its own; equal neighbours share a rank, and each block of documents learns which of its
    cover suffixes have a rank in common with others (one bit each, in sorted order);
 2. only positions up to v-1 bytes before such a suffix can start a repeated string.  Their
-   whole strings are told apart by 80-bit fingerprints, again one bucket sorted at a time;
+   whole strings are told apart by 96-bit fingerprints, again one bucket sorted at a time;
 3. bytes under any repeated string are cut.
 
 Memory is bounded by ``block_bytes`` of text and ``bucket_rows`` fingerprints (or one document, if
 longer); no suffix carries its text through an exchange, and ties of any length, such as copies of
 whole documents, cost a fixed number of bytes.  Whole texts that occur again are represented by one
-of them.
+of them.  Both bounds grow with the square root of the table up to sixteenfold, and a block sends rows only
+to buckets that it has fingerprints for, so the rows sent are at most as many as the fingerprints.
 
 What is defined for odd input: null counts as empty; each row is a document, so a row that occurs
 twice is a repeat; a document's text that occurs again is removed whole if it has ``length`` bytes
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, ragged, row_key, text_of
+from .common import bound_batches, grown, ragged, row_key, text_of
 
 _M = np.uint64(0xBF58476D1CE4E5B9)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -72,6 +73,17 @@ class Prints:
         return _mixed((self.prefix[at + length] - self.prefix[at]) * self.inverse[at])
 
 
+def prints_at(data: np.ndarray, at: np.ndarray, length: int, base: int, step: int = 4 << 20) -> np.ndarray:
+    """Fingerprints of the strings at ascending positions, the tables kept for ``step`` bytes at a time."""
+    out, lo = np.empty(len(at), np.uint64), 0
+    while lo < len(at):
+        first = int(at[lo])
+        hi = int(np.searchsorted(at, first + step))
+        out[lo:hi] = Prints(data[first : int(at[hi - 1]) + length], base).of(at[lo:hi] - first, length)
+        lo = hi
+    return out
+
+
 class Block:
     """Documents of one block: unique texts that represent themselves, joined in a buffer."""
 
@@ -93,7 +105,6 @@ class Block:
         self.end = np.cumsum(size)
         self.start = self.end - size
         self.data = np.frombuffer(b"".join(self.rows[r][2] for r in self.own), np.uint8)
-        self.prints = Prints(self.data, BASES[0])
 
     def cover(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions of cover suffixes, and their first bytes' fingerprints."""
@@ -105,11 +116,11 @@ class Block:
             count = np.maximum(0, (last - r) // v + 1)
             first = np.repeat(self.start + r, count)
             at.append(first + v * ragged(np.zeros(len(count), np.int64), count))
-        at = np.concatenate(at)
-        return at, self.prints.of(at, common)
+        at = np.sort(np.concatenate(at))
+        return at, prints_at(self.data, at, common, BASES[0])
 
     def candidates(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of strings that may be repeated, their fingerprints and 16 bits more of them."""
+        """Starts of strings that may be repeated, their fingerprints and 32 bits more of them."""
         v, _ = cover_for(self.length)
         at, marks = self.cover()
         shared = at[flagged(marks, buckets, self.bits[1])]
@@ -120,8 +131,8 @@ class Block:
         may = np.cumsum(edge[:-1]) > 0
         for_text = np.repeat(self.end, self.end - self.start)
         at = np.flatnonzero(may & (np.arange(len(self.data)) + self.length <= for_text))
-        more = (Prints(self.data, BASES[1]).of(at, self.length) >> np.uint64(48)).astype(np.uint16) if len(at) else np.zeros(0, np.uint16)
-        return at, self.prints.of(at, self.length), more
+        more = (prints_at(self.data, at, self.length, BASES[1]) >> np.uint64(32)).astype(np.uint32)
+        return at, prints_at(self.data, at, self.length, BASES[0]), more
 
     def spans(self, cover_buckets: int, buckets: int) -> list[list[tuple[int, int]]]:
         """Of each row: its repeated bytes as maximal runs."""
@@ -140,21 +151,23 @@ class Block:
 
 
 def in_buckets(marks: np.ndarray, buckets: int, more: np.ndarray | None = None):
-    """Sorted order of the fingerprints and the bounds of each bucket in it."""
+    """Sorted order of the fingerprints, and (bucket, first, end) in it of each bucket that occurs."""
     order = np.argsort(marks, kind="stable") if more is None else np.lexsort((more, marks))
     of = ((marks[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return order, np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    return order, list(zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(of)).tolist()))
 
 
 def flagged(marks: np.ndarray, buckets: int, bits: dict[int, tuple[int, bytes]], more: np.ndarray | None = None) -> np.ndarray:
     """Which fingerprints their buckets found shared."""
-    order, bounds = in_buckets(marks, buckets, more)
+    order, cuts = in_buckets(marks, buckets, more)
     out = np.zeros(len(marks), bool)
-    for b, (n, data) in bits.items():
-        a, e = int(bounds[b]), int(bounds[b + 1])
-        if e - a != n:
-            raise RuntimeError("a block's rows changed between two passes")
-        out[order[a:e]] = np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=n).astype(bool)
+    for b, a, e in cuts:
+        if b in bits:
+            n, data = bits[b]
+            if e - a != n:
+                raise RuntimeError("a block's rows changed between two passes")
+            out[order[a:e]] = np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=n).astype(bool)
     return out
 
 
@@ -162,13 +175,14 @@ def pack(marks: np.ndarray, more: np.ndarray | None) -> bytes:
     """Sorted fingerprints as byte planes of their differences, compressed."""
     gaps = np.diff(marks, prepend=np.uint64(0)).astype("<u8")
     planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.compress(planes + (b"" if more is None else more.astype("<u2").tobytes()), 1)
+    return zstandard.compress(planes + (b"" if more is None else more.astype(more.dtype.newbyteorder("<")).tobytes()), 1)
 
 
-def unpack(data: bytes, n: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+def unpack(data: bytes, n: int, wide: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and what was packed with them, numbers of the type ``wide`` (None: zeros)."""
     raw = zstandard.decompress(data)
     gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, "<u2", n, 8 * n) if wide else np.zeros(n, np.uint16)
+    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, wide, n, 8 * n) if wide else np.zeros(n, np.uint16)
 
 
 SENT = "bucket int, block int, n long, data binary"
@@ -185,7 +199,7 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 def _sort_bucket(kind: int):
     def run(sent: pa.Table) -> pa.Table:
         rows = sent.to_pylist()
-        parts = [unpack(r["data"], r["n"], kind == 2) for r in rows]
+        parts = [unpack(r["data"], r["n"], "<u4" if kind == 2 else None) for r in rows]
         marks, more = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((more, marks)) if kind == 2 else np.argsort(marks, kind="stable")
         same = (marks[order][1:] == marks[order][:-1]) & (more[order][1:] == more[order][:-1])
@@ -209,6 +223,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     digest = rows.select("doc_id", "key", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     total = digest.agg(F.sum("bytes")).first()[0] or 0
+    block_bytes, bucket_rows = grown(total, block_bytes, bucket_rows)
     blocks = max(1, -(-total // block_bytes))
     v, residues = cover_for(length)
     cover_buckets = max(1, -(-total * len(residues) // (v * bucket_rows)))
@@ -231,9 +246,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 _, marks = own.cover()
             else:
                 _, marks, more = own.candidates(cover_buckets)
-            order, bounds = in_buckets(marks, buckets, more)
+            order, cuts = in_buckets(marks, buckets, more)
             marks, more, number = marks[order], None if more is None else more[order], left["block"][0].as_py()
-            cuts = [(b, int(bounds[b]), int(bounds[b + 1])) for b in range(buckets) if bounds[b + 1] > bounds[b]]
             return _table(SENT, [(b, number, e - a, pack(marks[a:e], None if more is None else more[a:e])) for b, a, e in cuts])
 
         return run
