@@ -223,37 +223,98 @@ def test_vectors_tree_count():
         assert n >= 8 and missed <= 0.001
 
 
+def lm_brute(texts, train, seeds, classes, weight=0.95):
+    """Scores of texts by the method's rules over whole texts, without blocks or buckets."""
+    tokens = [(t or "").encode().lower().split() + [lm.END] for t in texts]
+    learn = [x for x, ok in zip(tokens, train) if ok]
+    count = Counter(w for x in learn for w in x)
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if w != lm.END][:seeds]
+    place = {w: i for i, w in enumerate(top)} | {lm.END: len(top) + 1}
+    bigrams = np.zeros((len(top) + 2,) * 2, np.int64)
+    for x in learn:
+        for v, w in zip([lm.END, *x], x):
+            bigrams[place.get(v, len(top)), place.get(w, len(top))] += 1
+    of = lm.exchange(bigrams, classes, fixed=2)
+    k, classes = int(of.max()) + 1, max(1, min(classes, len(top)))
+    table = np.zeros((k, k))
+    for (v, w), n in np.ndenumerate(bigrams):
+        table[of[v], of[w]] += n
+    kind = {w: int(of[i]) for w, i in place.items()} | {lm.END: classes}
+    symbol = lambda w: int(of[place.get(w, len(top))])
+    around = defaultdict(Counter)
+    for x in learn:
+        for i, w in enumerate(x):
+            if w not in place:
+                around[w][symbol(x[i - 1] if i else lm.END), None] += 1
+                around[w][None, symbol(x[i + 1])] += 1
+    for w, contexts in around.items():
+        gain = [sum(n * (np.log((table[b, c] + 1) / (table[:, c].sum() + k)) if a is None else np.log((table[c, a] + 1) / (table[c].sum() + k))) for (b, a), n in contexts.items()) for c in range(classes)]
+        best = sorted(range(classes), key=lambda c: (-gain[c], c))
+        kind[w] = best[0] if len(best) < 2 or gain[best[0]] - gain[best[1]] > 1e-9 else None  # a tie may go either way
+    total, types = sum(count.values()), len(count)
+    return tokens, count, kind, total, types
+
+
 def test_lm(spark, docs, empty, rows):
     from pyspark.sql import functions as F
 
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    got = lm.score_texts(docs, train, block_tokens=700, clustered=15, classes=4).collect()
-    tokens = [(i, (t or "").encode().lower().split() + ["end"]) for i, t, _ in rows]
-    count = Counter(w for i, ws in tokens if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    total, types = sum(count.values()), len(count)
-    expected = {i: (len(ws), sum(count[w] > 0 for w in ws), total, sum(np.log10((count[w] + 1) / (total + types + 1)) for w in ws)) for i, ws in tokens}
+    got = lm.score_texts(docs, train, block_tokens=700, bucket_words=60, seeds=15, classes=4).collect()
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _, _ in rows]
+    tokens, count, kind, total, types = lm_brute([t for _, t, _ in rows], learn, 15, 4)
+    assert None not in kind.values()
+    classes = 4
+    words, sums, table = np.zeros(classes + 1, int), np.zeros(classes + 1, int), np.zeros((classes + 1,) * 2)
+    for w, n in count.items():
+        words[kind[w]] += 1
+        sums[kind[w]] += n
+    for x, ok in zip(tokens, learn):
+        for v, w in zip([lm.END, *x], x) if ok else ():
+            table[kind[v], kind[w]] += 1
+    unknown = int(np.argmax(words[:classes]))
+    unigram = (sums + 1) / (sums.sum() + classes + 1)
+    step = (table + 10 * unigram) / (table.sum(1, keepdims=True) + 10)
+    step[:, (sums == 0) & (np.arange(classes + 1) != unknown)] = 0
+    step /= step.sum(1, keepdims=True)
+    model = lm.make_model(table, words, sums, 0.95)
+    assert model.transitions == pytest.approx(step) and (model.unknown, model.tokens, model.types) == (unknown, total, types)
+    of, share = model.emission(np.array([*(kind[w] for w in count), 0]), np.array([*count.values(), 0]))  # all known words and an unknown one
+    assert (model.transitions[:, of] * share).sum(1) == pytest.approx(1)
+    expected = {}
+    for (i, _, _), x in zip(rows, tokens):
+        score = base = 0.0
+        for v, w in zip([lm.END, *x], x):
+            a, b = (kind[u] if count[u] else unknown for u in (v, w))
+            share = (count[w] + 1) / (sums[unknown] + words[unknown] + 1) if b == unknown else count[w] / sums[b]
+            alone = (count[w] + 1) / (total + types + 1)
+            score += np.log10(0.95 * step[a, b] * share + 0.05 * alone)
+            base += np.log10(alone)
+        expected[i] = (len(x), sum(count[w] > 0 for w in x), total, base, score)
     assert len(got) == len(rows)
     for r in got:
-        n, known, all_tokens, base = expected[r["doc_id"]]
+        n, known, all_tokens, base, score = expected[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, all_tokens)
-        assert r["base_score"] == pytest.approx(base)
-        assert np.isfinite(r["score"]) and r["score"] < 0
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
     assert lm.score_texts(empty, train).collect() == []
     none = lm.score_texts(docs, F.lit(False)).collect()
     assert {r["n_known"] for r in none} == {0} and all(np.isfinite(r["score"]) for r in none)
 
 
-def test_lm_sums_to_one(spark, docs, rows):
-    from pyspark.sql import functions as F
+def test_exchange_is_settled():
+    rng = np.random.default_rng(5)
+    table = rng.poisson(0.4, (30, 30)) * rng.integers(0, 9, (30, 30))
+    found = lm.exchange(table, 4, fixed=2)
+
+    def likelihood(of):
+        member = np.zeros((30, 6))
+        member[np.arange(30), of] = 1
+        t = member.T @ table @ member
+        return sum((x[x > 0] * np.log(x[x > 0])).sum() for x in (t,)) - sum((x[x > 0] * np.log(x[x > 0])).sum() for x in (t.sum(0), t.sum(1)))
 
-    tokens = lm.blocks(docs, F.lit(True), "doc_id", "text", 10**6).cache()
-    words = tokens.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")).where("c > 0")
-    model = lm.fit(tokens, words, clustered=15, classes=4)
-    known = {r["word"]: r["c"] for r in words.collect()}
-    listed = [*known, "never seen"]
-    of, emission = model.emission(listed, np.array([known.get(w, 0) for w in listed]))
-    for before in range(len(model.transitions)):
-        assert (model.transitions[before, of] * emission).sum() == pytest.approx(1)
+    best = likelihood(found)
+    for w in range(28):
+        for c in range(4):
+            assert likelihood(np.where(np.arange(30) == w, c, found)) <= best + 1e-6
 
 
 def test_exchange_gains():
