@@ -160,7 +160,8 @@ def first_last_baseline(spark, sf_dir):
 
 
 def select_sentences(spark, sf_dir):
-    return _spread(spark, sf_dir).select("doc_id", X.selected("text", F.lit(RATIO)).alias("kept"))
+    kept = _spread(spark, sf_dir).select("doc_id", X.selected("text", F.lit(RATIO)).alias("k"))
+    return kept.select("doc_id", F.array_join(F.col("k").cast("array<string>"), ",").alias("kept"))
 
 
 def compress_documents(spark, sf_dir):
@@ -197,7 +198,7 @@ def baseline_coverage(spark, sf_dir):
 
 
 def workload_cost(spark, sf_dir):
-    return R.workload(pipeline_below_threshold(spark, sf_dir), 0.5)
+    return R.workload(pipeline_stats(spark, sf_dir), 0.5)
 
 
 _EVENT = "concat('{\"user\": ', user_id, ', \"kind\": \"', event_type, '\", \"list\": [', event_id, ', null, true]}')"
@@ -262,8 +263,9 @@ _DEDUP = "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
 _POS = "p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM {})"
 _BEFORE = f"(?:^|[{C.pattern([(0x00, 0x2D), (0x2F, 0x2F), *C.ASCII_OTHER[1:]], C.SPACE, C.PUNCT)}])\\.*"
 _ABBR = _BEFORE + "(?:" + "|".join(a.replace(".", "\\.") for a in C.ABBREVIATIONS) + ")\\.$"
+_DOCS = "src AS (SELECT doc_id, lang, text FROM documents)"
 _SENT = rf"""
-lines AS (SELECT doc_id, lang, li, regexp_replace(l, {_q(C.TRIM)}, '', 'g') AS line FROM (SELECT doc_id, lang, unnest(ls) AS l, unnest(range(len(ls))) AS li FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+lines AS (SELECT doc_id, lang, li, regexp_replace(l, {_q(C.TRIM)}, '', 'g') AS line FROM (SELECT doc_id, lang, unnest(ls) AS l, unnest(range(len(ls))) AS li FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM src))),
 listed AS (SELECT *, regexp_matches(line, {_q(C.LIST_LINE)}) AS item FROM lines WHERE line <> ''),
 pieces AS (SELECT doc_id, lang, li, item, unnest(ps) AS piece, unnest(range(len(ps))) AS pi FROM (SELECT *, CASE WHEN item OR length(line) <= 12 THEN [line] ELSE string_split(regexp_replace(line, '([.!?])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(1)) END AS ps FROM listed)),
 prev AS (SELECT *, lag(piece) OVER (PARTITION BY doc_id, li ORDER BY pi) AS before FROM pieces),
@@ -287,6 +289,34 @@ bt AS (SELECT *, {_tok('text')} AS t, count(*) OVER (PARTITION BY doc_id) AS n F
 br AS (SELECT *, least(2 * idx, 2 * (n - 1 - idx) + 1) AS r, sum(t) OVER (PARTITION BY doc_id) AS total FROM bt),
 bu AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM br),
 base AS (SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS b FROM bu WHERE used * 1000 < {RATIO} * total GROUP BY doc_id)"""
+# Selection goes down the ranks of all spans at once; which sentences are redundant beside which is known before.
+_SELECT = f"""
+tw AS (SELECT doc_id, idx, {_words('text')} AS w FROM sent),
+sh AS (SELECT doc_id, idx, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END) AS s FROM tw),
+shn AS (SELECT doc_id, idx, count(*) AS n FROM sh GROUP BY doc_id, idx),
+dg AS (SELECT doc_id, idx, w[1] AS head, list_sort(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) AS d FROM tw),
+pairs AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, count(*) AS m FROM sh a JOIN sh b ON a.doc_id = b.doc_id AND a.s = b.s AND a.idx <> b.idx GROUP BY a.doc_id, a.idx, b.idx),
+near AS (SELECT pairs.doc_id, i, list(j) AS js FROM pairs JOIN shn x ON pairs.doc_id = x.doc_id AND i = x.idx JOIN shn y ON pairs.doc_id = y.doc_id AND j = y.idx JOIN dg p ON pairs.doc_id = p.doc_id AND i = p.idx JOIN dg q ON pairs.doc_id = q.doc_id AND j = q.idx WHERE m * 100 > {C.REDUNDANT_PERCENT} * (x.n + y.n - m) AND p.d = q.d GROUP BY pairs.doc_id, i),
+rk AS MATERIALIZED (SELECT score.doc_id, score.idx, score.tokens, list_item, coalesce(js, []) AS js, coalesce(head IN ({', '.join(map(_q, C.ANAPHORA))}), false) AS leans, {_in('low', C.PROHIBITIONS)} AS held, row_number() OVER (PARTITION BY score.doc_id ORDER BY score DESC, score.idx) AS r,
+  lag(score.tokens) OVER (PARTITION BY score.doc_id ORDER BY score.idx) AS prev, sum(score.tokens) OVER (PARTITION BY score.doc_id) AS total
+  FROM score JOIN flags ON score.doc_id = flags.doc_id AND score.idx = flags.idx JOIN dg ON score.doc_id = dg.doc_id AND score.idx = dg.idx LEFT JOIN near ON score.doc_id = near.doc_id AND score.idx = near.i),
+sel AS (SELECT doc_id, 0::bigint AS r, coalesce(sum(tokens) FILTER (WHERE held), 0)::bigint AS used, coalesce(list(idx) FILTER (WHERE held), []) AS kept FROM rk GROUP BY doc_id
+  UNION ALL SELECT doc_id, r, used + CASE WHEN skip THEN 0 ELSE tokens + CASE WHEN pull THEN prev ELSE 0 END END, CASE WHEN skip THEN kept WHEN pull THEN list_concat(kept, [idx, idx - 1]) ELSE list_concat(kept, [idx]) END
+  FROM (SELECT rk.doc_id, rk.r, used, kept, tokens, prev, rk.idx, list_contains(kept, rk.idx) OR (NOT list_item AND list_has_any(kept, js)) AS skip, leans AND rk.idx > 0 AND NOT list_contains(kept, rk.idx - 1) AS pull FROM sel JOIN rk ON sel.doc_id = rk.doc_id AND rk.r = sel.r + 1 WHERE used * 1000 < {RATIO} * total)),
+fin AS (SELECT l.doc_id, CASE WHEN len(kept) = 0 THEN [rk.idx] ELSE list_sort(kept) END AS kept FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM sel GROUP BY doc_id) l JOIN rk ON l.doc_id = rk.doc_id AND rk.r = 1)"""
+_EXT = f"""{_SENT}, {_SCORE}, {_SELECT},
+cand AS (SELECT sent.doc_id, count(*) AS n, string_agg(sent.text, ' ' ORDER BY sent.idx) FILTER (WHERE list_contains(kept, sent.idx)) AS short FROM sent JOIN fin ON sent.doc_id = fin.doc_id GROUP BY sent.doc_id),
+told AS (SELECT src.*, short, CASE WHEN NOT regexp_matches(coalesce(text, ''), {_q(f'[^{C.SPACE_CLASS}]')}) THEN 0 ELSE {_tok('text')} END AS i,
+  NOT {_in('text', C.STRUCTURAL_MARKERS)} AND {_tok('text')} >= {C.LEAST_TOKENS} AND length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) * 100 >= length(text) * {C.ASCII_PERCENT} AND n >= {C.LEAST_SENTENCES} AND {_tok('short')} < {_tok('text')} AS gains
+  FROM src LEFT JOIN cand ON src.doc_id = cand.doc_id),
+ext AS (SELECT doc_id, lang, text AS original, CASE WHEN gains THEN short ELSE text END AS text, i AS input_tokens, CASE WHEN gains THEN {_tok('short')} ELSE i END AS output_tokens FROM told)"""
+# The whole pipeline over the messages that a source CTE "d" has after dedup.
+_RUN = f"""{_POS.format('d')}, e AS (SELECT conv_id, turn, role, pos, n, CASE WHEN pos < n - {CONFIG.purge_after} AND {_label('text')} = 'error' THEN {_q(C.PURGED)} ELSE text END AS text FROM p),
+g AS (SELECT *, {_tok('text')} AS t, sum({_tok('text')}) OVER (PARTITION BY conv_id) < {CONFIG.threshold_tokens} AS below FROM e),
+h AS (SELECT *, CASE WHEN below THEN 'below-threshold' WHEN role = 'system' OR pos >= n - {CONFIG.last_turns} OR {_label('text')} <> 'prose' THEN 'verbatim' ELSE 'extract' END AS method FROM g),
+src AS (SELECT conv_id * 1000 + turn AS doc_id, '' AS lang, text FROM h WHERE method = 'extract'), {_EXT},
+done AS (SELECT conv_id, turn, role, CASE WHEN method = 'extract' THEN ext.text ELSE h.text END AS text, CASE WHEN method = 'extract' THEN input_tokens ELSE t END AS input_tokens, CASE WHEN method = 'extract' THEN output_tokens ELSE t END AS output_tokens, method FROM h LEFT JOIN ext ON h.conv_id * 1000 + turn = ext.doc_id),
+stats AS (SELECT conv_id, sum(input_tokens)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, CASE WHEN sum(input_tokens) > 0 THEN sum(output_tokens)::double / sum(input_tokens) ELSE 1.0 END AS ratio, CASE WHEN min(method) = max(method) THEN min(method) ELSE 'hybrid' END AS method, 0.0::double AS cost_usd FROM done GROUP BY conv_id)"""
 _STATS = "SELECT conv_id, sum({t})::bigint AS input_tokens, sum({t})::bigint AS output_tokens, 1.0::double AS ratio, {m} AS method, 0.0::double AS cost_usd FROM {f} GROUP BY conv_id"
 def _purged(after: int) -> str:
     return f"e AS (SELECT conv_id, turn, role, CASE WHEN pos < n - {after} AND {_label('text')} = 'error' THEN {_q(C.PURGED)} ELSE text END AS text FROM p)"
@@ -312,15 +342,21 @@ ORACLES = {
     "protect_flags": f"WITH {_M}, {_POS.format('m')} SELECT conv_id, turn, role = 'system' OR pos >= n - 2 AS protected FROM p",
     "route_plan": f"WITH {_M}, {_POS.format('m')} SELECT conv_id, turn, CASE WHEN role <> 'system' AND pos < n - {CONFIG.last_turns} AND {_label('text')} = 'prose' THEN 'extract' ELSE 'verbatim' END AS compressor FROM p",
     "threshold_gate": f"WITH {_M}, {_DEDUP} SELECT conv_id, sum({_tok('text')})::bigint AS tokens, sum({_tok('text')}) < {CONFIG.threshold_tokens} AS below FROM d GROUP BY conv_id",
-    "segment_sentences": f"WITH {_SENT} SELECT doc_id, idx, text, list_item FROM sent",
-    "sentence_scores": f"WITH {_SENT}, {_SCORE} SELECT doc_id, idx, tokens, score FROM score",
-    "sentence_rank": f"WITH {_SENT}, {_SCORE} SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS rank FROM score",
-    "first_last_baseline": f"WITH {_SENT}, {_BASE} SELECT d.doc_id, sha256(coalesce(b, '')) AS baseline_sha256 FROM documents d LEFT JOIN base ON d.doc_id = base.doc_id",
+    "segment_sentences": f"WITH {_DOCS}, {_SENT} SELECT doc_id, idx, text, list_item FROM sent",
+    "sentence_scores": f"WITH {_DOCS}, {_SENT}, {_SCORE} SELECT doc_id, idx, tokens, score FROM score",
+    "sentence_rank": f"WITH {_DOCS}, {_SENT}, {_SCORE} SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS rank FROM score",
+    "first_last_baseline": f"WITH {_DOCS}, {_SENT}, {_BASE} SELECT d.doc_id, sha256(coalesce(b, '')) AS baseline_sha256 FROM documents d LEFT JOIN base ON d.doc_id = base.doc_id",
     "pipeline_below_threshold": f"WITH {_M}, {_DEDUP}, {_POS.format('d')}, {_purged(4)} " + _STATS.format(t=_tok("text"), m="'below-threshold'", f="e"),
     "pipeline_verbatim": f"WITH {_M}, {_DEDUP}, {_POS.format('d')}, {_purged(4)} " + _STATS.format(t=_tok("text"), m="'verbatim'", f="e"),
     "pipeline_passthrough": f"WITH {_M} " + _STATS.format(t="0", m="'passthrough'", f="m"),
-    "baseline_coverage": f"WITH {_SENT}, {_BASE}, x AS (SELECT d.lang, text, {_words('text')} AS w, {_words('b')} AS v, {_tok('text')} AS t, {_tok('b')} AS bt FROM documents d LEFT JOIN base ON d.doc_id = base.doc_id WHERE {_label('text')} = 'prose') SELECT lang, count(*) AS spans, sum(t)::bigint AS input_tokens, sum(bt)::bigint AS baseline_tokens, sum(len(list_distinct(w)))::bigint AS terms, sum(len(list_distinct(list_intersect(w, v))))::bigint AS baseline_terms_kept, sum(len(list_filter(list_distinct(w), lambda x: regexp_matches(x, '[0-9]'))))::bigint AS digit_terms FROM x GROUP BY lang",
-    "workload_cost": f"WITH {_M}, {_DEDUP}, {_POS.format('d')}, {_purged(4)}, s AS (SELECT conv_id, sum({_tok('text')})::bigint AS t FROM e GROUP BY conv_id) SELECT count(*) AS lists, sum(t)::bigint AS input_tokens, sum(t)::bigint AS output_tokens, 0::bigint AS saved_tokens, 0.0::double AS saved_percent, sum(t)::double / 1000 * 0.5 AS cost_before, sum(t)::double / 1000 * 0.5 AS cost_after, 0.0::double AS cost_saved FROM s",
+    "baseline_coverage": f"WITH {_DOCS}, {_SENT}, {_BASE}, x AS (SELECT d.lang, text, {_words('text')} AS w, {_words('b')} AS v, {_tok('text')} AS t, {_tok('b')} AS bt FROM documents d LEFT JOIN base ON d.doc_id = base.doc_id WHERE {_label('text')} = 'prose') SELECT lang, count(*) AS spans, sum(t)::bigint AS input_tokens, sum(bt)::bigint AS baseline_tokens, sum(len(list_distinct(w)))::bigint AS terms, sum(len(list_distinct(list_intersect(w, v))))::bigint AS baseline_terms_kept, sum(len(list_filter(list_distinct(w), lambda x: regexp_matches(x, '[0-9]'))))::bigint AS digit_terms FROM x GROUP BY lang",
+    "select_sentences": f"WITH RECURSIVE {_DOCS}, {_SENT}, {_SCORE}, {_SELECT} SELECT d.doc_id, coalesce(array_to_string(kept, ','), '') AS kept FROM documents d LEFT JOIN fin ON d.doc_id = fin.doc_id",
+    "compress_documents": f"WITH RECURSIVE {_DOCS}, {_EXT} SELECT doc_id, text, input_tokens, output_tokens FROM ext",
+    "tool_result_meta": f"WITH RECURSIVE {_DOCS}, {_EXT} SELECT doc_id, CASE WHEN input_tokens > output_tokens THEN input_tokens - output_tokens END AS tokens_saved, CASE WHEN input_tokens > output_tokens THEN output_tokens::double / input_tokens END AS ratio, CASE WHEN input_tokens > output_tokens THEN 'extract' END AS method FROM ext",
+    "coverage_report": f"WITH RECURSIVE {_DOCS}, {_EXT}, {_BASE}, x AS (SELECT e.lang, input_tokens AS i, output_tokens AS o, list_distinct({_words('original')}) AS w, {_words('e.text')} AS v, {_words('b')} AS u, {_tok('b')} AS bt FROM ext e LEFT JOIN base ON e.doc_id = base.doc_id WHERE {_label('original')} = 'prose'), y AS (SELECT *, list_filter(w, lambda a: regexp_matches(a, '[0-9]')) AS g FROM x) SELECT lang, count(*) AS spans, sum(i)::bigint AS input_tokens, sum(o)::bigint AS output_tokens, sum(bt)::bigint AS baseline_tokens, sum(len(w))::bigint AS terms, sum(len(list_distinct(list_intersect(w, v))))::bigint AS terms_kept, sum(len(list_distinct(list_intersect(w, u))))::bigint AS baseline_terms_kept, sum(len(g))::bigint AS digit_terms, sum(len(list_distinct(list_intersect(g, v))))::bigint AS digit_terms_kept FROM y GROUP BY lang",
+    "pipeline_messages": f"WITH RECURSIVE {_M}, {_DEDUP}, {_RUN} SELECT * FROM done",
+    "pipeline_stats": f"WITH RECURSIVE {_M}, {_DEDUP}, {_RUN} SELECT * FROM stats",
+    "workload_cost": f"WITH RECURSIVE {_M}, {_DEDUP}, {_RUN}, w AS (SELECT count(*) AS lists, sum(input_tokens)::bigint AS i, sum(output_tokens)::bigint AS o FROM stats) SELECT lists, i AS input_tokens, o AS output_tokens, i - o AS saved_tokens, (i - o)::double / i * 100 AS saved_percent, i::double / 1000 * 0.5 AS cost_before, o::double / 1000 * 0.5 AS cost_after, (i - o)::double / 1000 * 0.5 AS cost_saved FROM w",
     "canonical_json": f"SELECT event_id, {_EV_JSON} AS json FROM events",
     "block_text": f"SELECT event_id, '[tool_use ' || event_type || '] ' || {_EV_JSON} || chr(10) || 'seen ' || event_id AS text, true AS tool_linked FROM events",
 }
