@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thresher.functions import classes as C
 from thresher.functions import content as N
 from thresher.functions import kernels as K
+from thresher.functions import lists as L
 from thresher.functions import messages as M
 from thresher.functions import text as X
 from thresher.operators import compressors, model_requests, strategies
@@ -53,7 +54,7 @@ def test_words(spark):
 )
 def test_labels(spark, text, label):
     assert column(spark, [text], X.classify(F.col("t")).alias("l")) == [(label,)]
-    assert R.label(text) == label
+    assert L.label(text) == label
 
 
 def test_segments():

@@ -137,6 +137,41 @@ def top_level_span(body: str, key: str) -> tuple[int, int] | None:
         return None
 
 
+def compact(value: Any) -> str:
+    """JSON without spaces, other letters than ASCII as they are."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def canonical_meta(old: dict, key: str, entry: dict) -> str:
+    """The JSON of metadata with an entry added, its numbers as JavaScript writes them."""
+    return "{" + ",".join([*(f"{compact(k)}:{compact(v)}" for k, v in old.items() if k != key), f"{compact(key)}:" + "{" + ",".join(f"{compact(k)}:{canonical_json(v)}" for k, v in entry.items()) + "}"]) + "}"
+
+
+def elements(body: str, key: str) -> list[str] | None:
+    """The raw JSON of each element of a top-level array; None where there is no such array."""
+    span = top_level_span(body, key)
+    if span is None or body[span[0]] != "[":
+        return None
+    decoder, out, at = json.JSONDecoder(), [], span[0] + 1
+    skip = lambda i: i + len(body[i : span[1]]) - len(body[i : span[1]].lstrip(" \t\r\n,"))
+    while (at := skip(at)) < span[1] - 1:
+        end = decoder.raw_decode(body, at)[1]
+        out.append(body[at:end])
+        at = end
+    return out
+
+
+def put(body: str, key: str, value: str) -> str:
+    """A JSON object with one top-level value replaced or, where the key is missing, added at the end."""
+    if (done := splice(body, key, value)) is not None:
+        return done
+    whole = json.loads(body)
+    if key in whole:
+        return compact({**whole, key: json.loads(value)})
+    at = body.rindex("}")
+    return body[:at].rstrip() + ("," if whole else "") + f"{json.dumps(key)}:{value}" + body[at:]
+
+
 def splice(body: str, key: str, value: str) -> str | None:
     """The body with only the bytes of one top-level value replaced."""
     span = top_level_span(body, key)

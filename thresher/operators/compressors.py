@@ -11,12 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions import text as X
 from .config import Config
 
 Compressor = Callable[[Column, Config], Column]
 
 
+def of_content(name: str, content: Column, text: Column, config: Config) -> Column:
+    """The compressor ``name`` over content as JSON: struct<content, input_tokens, output_tokens>.
+
+    Text and the tool results in blocks are compressed in place; a compressor that was registered for texts
+    replaces the content by its text.
+    """
+    if name == "extract":
+        return M.compress_content(content, F.lit(config.ratio_millis))
+    done = get(name)(text, config)
+    return F.struct(M.text_content(done["text"]).alias("content"), done["input_tokens"].alias("input_tokens"), done["output_tokens"].alias("output_tokens"))
+
+
 def verbatim(text: Column, config: Config) -> Column:
     n = X.token_count(text)
     return F.struct(text.alias("text"), n.alias("input_tokens"), n.alias("output_tokens"))

@@ -14,13 +14,13 @@ PATHS = "(?:/chat/completions|/messages)$"
 def read_lists(spark: SparkSession, path: str) -> DataFrame:
     """JSON files, each an array of messages -> (file, turn, role, content as JSON, text, tool_linked)."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    rows = raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("turn", "message"))
-    return with_text(rows.select("file", "turn", F.get_json_object("message", "$.role").alias("role"), _content("message").alias("content")))
+    rows = raw.select("file", F.posexplode(M.message_list(F.concat(F.lit('{"messages":'), "value", F.lit("}")))).alias("turn", "message"))
+    return with_text(rows.select("file", "turn", *_parts()))
 
 
-def _content(message: str):
-    """The content as JSON, a string in its quotes."""
-    return F.expr(f"to_json(try_variant_get(try_parse_json({message}), '$.content', 'variant'))")
+def _parts() -> list:
+    """A message as it is, its role, and its content as JSON (a string in its quotes)."""
+    return ["message", F.get_json_object("message", "$.role").alias("role"), M.content_json("message").alias("content")]
 
 
 def with_text(messages: DataFrame) -> DataFrame:
@@ -28,17 +28,21 @@ def with_text(messages: DataFrame) -> DataFrame:
 
 
 def requests(log: DataFrame) -> DataFrame:
-    """Of a request log (request_id, method, path, body): the messages of those that carry a list."""
+    """Of a request log (request_id, method, path, body): the messages of those that carry a list, raw and in parts."""
     hits = log.where((F.col("method") == "POST") & F.regexp_like("path", F.lit(PATHS)))
-    lists = hits.select("request_id", F.posexplode(F.from_json(F.get_json_object("body", "$.messages"), "array<string>")).alias("turn", "message"))
-    return with_text(lists.select(F.col("request_id").alias("conv_id"), "turn", F.get_json_object("message", "$.role").alias("role"), _content("message").alias("content")))
+    lists = hits.select("request_id", F.posexplode(M.message_list("body")).alias("turn", "message"))
+    return with_text(lists.select(F.col("request_id").alias("conv_id"), "turn", *_parts()))
 
 
 def write_back(log: DataFrame, messages: DataFrame) -> DataFrame:
-    """Request bodies with their messages replaced by compressed ones; all other bytes stay as they are."""
-    fields = F.to_json(F.struct("role"))
-    one = F.concat(F.expr("substring(x, 1, length(x) - 1)"), F.lit(',"content":'), F.col("content"), F.lit("}"))
-    lists = messages.withColumn("x", fields).groupBy(F.col("conv_id").alias("request_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", one.alias("m")))), lambda s: s["m"]).alias("list"))
+    """Request bodies with the content of their messages replaced by that of ``messages``, by turn.
+
+    ``messages`` has conv_id, turn, message (raw JSON) and content.  All other bytes of a body and of a message stay
+    as they are; messages that aren't among ``messages`` leave the list.
+    """
+    lists = messages.select(F.col("conv_id").alias("request_id"), "turn", M.with_content("message", "content").alias("m"))
+    # One request's messages.
+    lists = lists.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"]).alias("list"))
     joined = log.join(lists, "request_id", "left")
     spliced = M.splice_messages("body", F.concat(F.lit("["), F.array_join("list", ","), F.lit("]")))
     return joined.withColumn("body", F.when(F.col("list").isNotNull(), spliced).otherwise(F.col("body"))).select(log.columns)

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import content as N
-from ..functions import kernels as K
+from ..functions import lists as L
 from ..functions import text as X
 from ..operators.config import Config
 from ..sources.messages import PATHS
@@ -39,71 +39,50 @@ def compress_requests(requests: DataFrame, config: Config) -> DataFrame:
 
 
 def compress_body(body: str | None, config: Config) -> tuple[str | None, int, int]:
-    """A body with the messages before its last turns compressed; itself where it has no message list."""
-    try:
-        value = json.loads(body) if body else None
-    except ValueError:
-        value = None
-    messages = value.get("messages") if isinstance(value, dict) else None
-    if not isinstance(messages, list) or not all(isinstance(m, dict) for m in messages):
+    """A body with its message list compressed as the pipeline does; itself where it has no message list."""
+    raw = None if body is None else N.elements(body, "messages")
+    messages = None if raw is None else [json.loads(m) for m in raw]
+    if not messages or not all(isinstance(m, dict) for m in messages):
         return body, 0, 0
-    tokens = K.token_counts([N.content_text(m.get("content")) for m in messages])
-    before = int(tokens.sum())
-    if before < config.threshold_tokens:
-        return body, before, before
-    out, after = [], 0
-    for i, (m, n) in enumerate(zip(messages, tokens.tolist())):
-        text = N.content_text(m.get("content"))
-        if m.get("role") != "system" and i < len(messages) - config.last_turns and label(text) == "prose" and config.routing.get("prose") == "extract":
-            short, _, n = N.compress_content(m.get("content"), config.ratio_millis)
-            m = {**m, "content": short}
-        out.append(m)
-        after += n
-    done = N.splice(body, "messages", json.dumps(out, ensure_ascii=False))
-    return done if done is not None else json.dumps({**value, "messages": out}, ensure_ascii=False), before, after
-
-
-def label(text: str) -> str:
-    """The label of one message, as :func:`thresher.functions.text.classify` gives it to a column."""
-    import re
-
-    from ..functions import classes as C
-
-    if not text.strip(C.SPACE_CHARS):
-        return "unknown"
-    if any(m in text for m in C.ERROR_MARKERS):
-        return "error"
-    lines = sum(x.lstrip(C.SPACE_CHARS).startswith(tuple(C.CODE_PREFIXES)) for x in text.split("\n"))
-    if "```" in text or lines >= C.CODE_LINES:
-        return "code"
-    return "structured" if len(text) >= C.STRUCTURED_LENGTH and len(re.findall(C.JSON_KEY, text)) * 1000 >= len(text) else "prose"
+    kept, before, after, _ = L.compress_list(messages, config)
+    new = L.rewrite(raw, messages, kept)
+    return body if new == raw else N.splice(body, "messages", "[" + ",".join(new) + "]"), before, after
 
 
-def flag_repeats(messages: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """A stream of (session, turn, role, text) with is_repeat; a session's state ends when it is quiet for ``ttl``.
+class Seen(StatefulProcessor):
+    """Flags messages whose hash the session has had; each hash is an entry of its own in the state."""
 
-    The state of a session is the set of its hashes, so its size is bounded by the session's
-    different messages.  Empty texts never repeat.
-    """
-    hashed = messages.select("session", "turn", X.repeat_hash(F.col("role"), F.col("text")).alias("hash"))
-    quiet_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "hash string", "n int", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # One session's rows of one micro-batch, in their order.
+        batch = pd.concat(list(rows)).sort_values("turn", kind="stable")
         flags = []
-        for h in rows["hash"]:
-            flags.append(h is not None and h in seen)
+        for h in batch["hash"]:
+            flags.append(h is not None and self.seen.containsKey((h,)))
             if h is not None:
-                seen.add(h)
-        state.update((sorted(seen),))
-        state.setTimeoutDuration(quiet_ms)
-        yield pd.DataFrame({"session": key[0], "turn": rows["turn"].to_numpy(), "is_repeat": flags})
+                self.seen.updateValue((h,), (1,))
+        yield pd.DataFrame({"session": key[0], "turn": batch["turn"].to_numpy(), "is_repeat": flags})
+
+    def close(self) -> None:
+        pass
 
-    return hashed.groupBy("session").applyInPandasWithState(run, "session string, turn long, is_repeat boolean", "hashes array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def flag_repeats(messages: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """A stream of (session, turn, role, text) with is_repeat; a hash is forgotten ``ttl`` after it was last seen.
+
+    The state of a session is a map of its different messages, of which a batch reads and writes only its own.
+    Empty texts never repeat, nor do messages of tool calls (column ``tool_linked``, if there).  The session needs the
+    RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    linked = F.col("tool_linked") if "tool_linked" in messages.columns else None
+    hashed = messages.select("session", "turn", X.repeat_hash(F.col("role"), F.col("text"), linked).alias("hash"))
+    seen = Seen(int(pd.Timedelta(ttl).total_seconds() * 1000))
+    return hashed.groupBy("session").transformWithStateInPandas(seen, "session string, turn long, is_repeat boolean", "append", "ProcessingTime")
 
 
 def drop_repeats(messages: DataFrame) -> DataFrame:
