@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions import text as X
 
 
@@ -29,6 +30,35 @@ def quality(spans: DataFrame, group: str, ratio_millis: int = 500) -> DataFrame:
     )
 
 
+def coverage(spans: DataFrame, ratio_millis: int = 500) -> DataFrame:
+    """``spans`` (text) with the share of terms that the first-and-last baseline keeps."""
+    both = spans.withColumn("__b", X.first_last("text", F.lit(ratio_millis)))
+    return both.withColumn("coverage", X.coverage(X.word_tokens(F.coalesce("text", F.lit(""))), X.word_tokens(F.col("__b")))).drop("__b")
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
+    """Of each group, how many rows (key, json) of both sides there are, and how many agree.
+
+    Values agree if they are equal as JSON: objects in any order of keys, arrays in order, numbers by value.
+    """
+    sides = [df.select(key, group, M.canonical_json("json").alias(c)) for df, c in ((left, "a"), (right, "b"))]
+    both = sides[0].join(sides[1], [key, group], "full")
+    return both.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.coalesce(F.col("a") == F.col("b"), F.lit(False)).cast("long")).alias("agree"))
+
+
+def dashboard(table: DataFrame, title: str) -> tuple[str, bool]:
+    """An agreement table as Markdown, and whether all rows agree; a row for each group."""
+    rows = table.orderBy(table.columns[0]).collect()  # one row for each group of a report
+    lines = [f"# {title}", "", "| " + " | ".join(table.columns) + " | match |", "|" + "---|" * (len(table.columns) + 1)]
+    lines += ["| " + " | ".join(str(v) for v in r) + f" | {'yes' if r['rows'] == r['agree'] else 'no'} |" for r in rows]
+    return "\n".join(lines) + "\n", all(r["rows"] == r["agree"] for r in rows)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as JSON lines, a file for each partition."""
+    report.write.mode("overwrite").json(path)
+
+
 def workload(stats: DataFrame, usd_per_1000: float) -> DataFrame:
     """One row: lists, tokens before and after, the share saved, and what that costs."""
     out = stats.agg(F.count("*").alias("lists"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
