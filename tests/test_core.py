@@ -2,7 +2,6 @@
 
 import json
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +12,11 @@ from thresher.functions import kernels as K
 from thresher.functions import lists as L
 from thresher.functions import messages as M
 from thresher.functions import text as X
-from thresher.operators import compressors, model_requests, strategies
+from thresher.operators import compressors, model_requests, strategies, tools
 from thresher.operators.config import Config
 from thresher.plans import pipeline as P
 from thresher.plans import queries as Q
+from thresher.plans import reports, traffic
 from thresher.sources import messages as S
 from thresher.streaming import requests as R
 
@@ -200,33 +200,154 @@ def test_streaming(spark, tmp_path):
 
 
 def test_streaming_repeats(spark, tmp_path):
-    rows = [("a", 0, "user", "x"), ("a", 1, "assistant", "x"), ("a", 2, "user", "x"), ("b", 0, "user", "x"), ("a", 3, "user", ""), ("a", 4, "user", "")]
-    schema = "session string, turn long, role string, text string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
-    query = R.flag_repeats(stream).writeStream.format("memory").queryName("repeats").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    end = time.time() + 40  # a state with a timeout always asks for another batch, so there is no "all done" to wait for
-    while spark.table("repeats").count() < 6 and time.time() < end:
-        time.sleep(0.5)
-    query.stop()
-    assert sorted((r["session"], r["turn"]) for r in spark.table("repeats").where("is_repeat").collect()) == [("a", 2)]
-    assert spark.table("repeats").count() == 6
-
-
-def test_model_requests(spark):
-    answers = {
-        "anthropic": {"content": [{"text": "s"}], "usage": {"input_tokens": 5, "output_tokens": 1}},
-        "openai": {"choices": [{"message": {"content": "s"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 1}},
-        "gemini": {"candidates": [{"content": {"parts": [{"text": "s"}]}}], "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": 1}},
-    }
-    for provider, answer in answers.items():
-        url, _, body = model_requests.build(provider, "m", "http://x", "k", "hello")
-        assert "hello" in body and url.startswith("http://x")
-        raw = json.dumps(answer)
-        out = model_requests.compress(spark.createDataFrame([(1, "hello")], "span_id long, text string"), provider, "m", "http://x", "k", lambda u, h, b, raw=raw: (200, raw)).collect()
-        assert tuple(out[0])[1:4] == ("s", 5, 1)
-    with pytest.raises(RuntimeError, match="500"):
-        model_requests.parse("openai", 500, "no")
+    """The state lasts over batches; tool messages and empty texts never repeat."""
+    first = [("a", 0, "user", "x", False), ("a", 1, "assistant", "x", False), ("a", 2, "user", "x", False), ("b", 0, "user", "x", False), ("a", 3, "user", "", False)]
+    later = [("a", 4, "user", "", False), ("b", 1, "user", "x", False), ("b", 2, "user", "t", True), ("b", 3, "user", "t", True), ("a", 5, "user", "y", False)]
+    schema = "session string, turn long, role string, text string, tool_linked boolean"
+    for n, rows in enumerate((first, later)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/in")
+        query = R.flag_repeats(stream).writeStream.format("json").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(once=True).start()
+        query.awaitTermination(120)
+    out = spark.read.json(f"{tmp_path}/out")
+    assert out.count() == len(first) + len(later)
+    assert sorted((r["session"], r["turn"]) for r in out.where("is_repeat").collect()) == [("a", 2), ("b", 1)]
+
+
+ANSWERS = {
+    "anthropic": {"content": [{"text": "s"}], "usage": {"input_tokens": 5, "output_tokens": 1}},
+    "openai": {"choices": [{"message": {"content": "s"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 1}},
+    "gemini": {"candidates": [{"content": {"parts": [{"text": "s"}]}}], "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": 1}},
+}
+
+
+@pytest.mark.parametrize("name", sorted(ANSWERS))
+def test_model_requests(spark, name):
+    provider = model_requests.Provider(name, key="k", url="http://x/")
+    url, headers, body = provider.build("hello")
+    assert url.startswith("http://x/v1") and "hello" in body and "k" in " ".join(headers.values()) and "k" not in repr(provider).split()
+    raw = json.dumps(ANSWERS[name])
+    assert provider.parse(200, raw) == ("s", 5, 1) and provider.parse(200, "{}") == ("", 0, 0)
+    with pytest.raises(RuntimeError, match="answered 500: no"):
+        provider.parse(500, "no")
+    rows = [(1, 1, "user", "b"), (1, 0, "assistant", "a"), (2, 0, "user", " "), (2, 1, None, None)]
+
+    def transport(url, headers, body, raw=raw):
+        assert "a\\n\\nb" in body
+        return 200, raw
+
+    out = sorted(tuple(r) for r in model_requests.compress_spans(spark.createDataFrame(rows, "span_id long, turn long, role string, text string"), provider, transport).collect())
+    assert out == [(1, 0, "assistant", "s", 5, 1, "selfllm"), (2, 0, "user", " ", 0, 0, "selfllm"), (2, 1, "user", "", 0, 0, "selfllm")]
+
+
+def test_model_defaults():
+    body = lambda *a: json.loads(model_requests.Provider(*a).build("x")[2])
+    assert "reasoning_effort" not in body("openai") and body("openai", "o3-mini")["reasoning_effort"] == "minimal"
+    assert body("gemini")["generationConfig"]["thinkingConfig"] == {"thinkingBudget": 0} and "thinkingConfig" not in body("gemini", "gemini-1.5-pro")["generationConfig"]
+    assert body("anthropic")["max_tokens"] == 500
+    with pytest.raises(ValueError, match="unknown provider"):
+        model_requests.Provider("nobody")
+
+
+def test_model_as_compressor(spark):
+    model_requests.register(model_requests.Provider("openai"), lambda u, h, b: (200, json.dumps(ANSWERS["openai"])))
+    config = Config(mode="on", threshold_tokens=0, last_turns=1, routing={"prose": "selfllm"})
+    out = P.compress_messages(frame(spark, [(1, 0, "user", "some words"), (1, 1, "user", "cd")]), config).orderBy("turn").collect()
+    assert [(r["text"], r["input_tokens"], r["output_tokens"], r["method"]) for r in out] == [("s", 5, 1, "selfllm"), ("cd", 1, 1, "verbatim")]
+
+
+LONG = " ".join(f"The crew moved {w} boxes to hall {i}." for i, w in enumerate("red blue green pink grey".split() * 4))
+
+
+def test_bodies_keep_their_other_bytes(spark):
+    short = K.compress_text(LONG, 500)[0]
+    one = lambda t: '{ "role" : "user","name":"n", "content": %s , "x": 1.0}' % json.dumps(t)
+    tool = lambda t: '{"tool_call_id": "c", "content": %s}' % t
+    block = lambda t: json.dumps([{"type": "tool_result", "content": t}], separators=(",", ":"))
+    body = '{"model" : "m", "messages": [%s], "n": 1e3}'
+    old = body % ",".join([one(LONG), tool(block(LONG + " And more.")), '{"tool_calls": []}', one("bye")])
+    new = body % ",".join([one(short), tool(block(K.compress_text(LONG + " And more.", 500)[0])), '{"tool_calls": []}', one("bye")])
+    log = spark.createDataFrame([(1, "POST", "/v1/messages", old), (2, "POST", "/v1/messages", "{bad"), (3, "POST", "/v1/messages", '{"messages": [1]}'), (4, "POST", "/v1/messages", None)], "request_id long, method string, path string, body string")
+    config = Config(mode="on", threshold_tokens=10, last_turns=1)
+    back = {r["request_id"]: r["body"] for r in S.write_back(log, P.compress_messages(S.requests(log), config)).collect()}
+    assert back == {1: new, 2: "{bad", 3: '{"messages": [1]}', 4: None}
+    assert R.compress_body(old, config)[0] == new and R.compress_body(None, config) == (None, 0, 0)
+    assert [R.compress_body(x, config)[0] for x in ("{bad", '{"messages": [1]}', "[]", '{"messages": {}}')] == ["{bad", '{"messages": [1]}', "[]", '{"messages": {}}']
+
+
+def test_lists_equal_the_pipeline(spark):
+    rnd = random.Random(3)
+    texts = [LONG, LONG + " Never stop.", "ERROR: it broke", "Uncaught exception here", "def f():\nimport x", " ", "hi", "", LONG.replace("crew", "team")]
+    shapes = [lambda t: t, lambda t: [{"type": "text", "text": t}], lambda t: [{"type": "tool_result", "content": t}, {"type": "image"}], lambda t: {"type": "text", "text": t}, lambda t: None]
+    lists = [[{"role": rnd.choice(["user", "assistant", "system"]), "content": rnd.choice(shapes)(rnd.choice(texts))} for _ in range(rnd.randint(1, 9))] for _ in range(25)]
+    config = Config(mode="on", threshold_tokens=60, last_turns=1, purge_after=2, routing={"prose": "extract", "error": "extract"})
+    raw = [(c, i, json.dumps(m)) for c, ms in enumerate(lists) for i, m in enumerate(ms)]
+    df = spark.createDataFrame(raw, "conv_id long, turn long, message string")
+    done = P.compress_messages(S.with_text(df.select("conv_id", "turn", *S._parts())), config)
+    got = {}
+    for r in done.select("conv_id", "turn", M.with_content("message", "content").alias("m")).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], json.loads(r["m"])))
+    stats = {r["conv_id"]: r for r in P.conversation_stats(done).collect()}
+    for c, ms in enumerate(lists):
+        kept, before, after, method = L.compress_list(ms, config)
+        assert got[c] == kept
+        assert (stats[c]["input_tokens"], stats[c]["output_tokens"], stats[c]["method"]) == (before, after, method)
+
+
+def test_elements_and_put():
+    assert N.elements('{"a": 1, "messages" : [ {"x": [1, 2]} , "b",3 ] }', "messages") == ['{"x": [1, 2]}', '"b"', "3"]
+    assert N.elements('{"messages": []}', "messages") == [] and N.elements('{"messages": {}}', "messages") is None and N.elements("[", "messages") is None
+    assert N.put('{"a": 1 }', "b", "2") == '{"a": 1,"b":2}' and N.put("{}", "b", "2") == '{"b":2}' and N.put('{ "b" : 1}', "b", "2") == '{ "b" : 2}'
+    assert json.loads(N.put('{"b": 1, "b": 3}', "b", "2")) == {"b": 2}
+
+
+def test_tool_traffic(spark):
+    short, before, after = K.compress_text(LONG, 500)
+    result = '{"content": [{"type": "text", "text": %s}], "structuredContent": {"text": %s, "n": 1.0}%s}'
+    meta = '{"old":1,"m":{"tokensSaved":%d,"ratio":%s,"method":"extract"}}' % (before - after, N.number(after / before))
+    q = json.dumps
+    rows = [
+        ("tools/call", result % (q(LONG), q(LONG), ', "_meta": {"old": 1}'), (result % (q(LONG), q(LONG), ', "_meta": ' + meta)).replace('[{"type": "text", "text": %s}]' % q(LONG), '[{"type":"text","text":%s}]' % q(short))),
+        ("tools/call", '{"task": {"taskId": "t"}, "content": [{"type": "text", "text": %s}]}' % q(LONG), None),
+        ("tools/call", '{"content": %s}' % q(LONG), None), ("tasks/get", result % (q(LONG), q(LONG), ""), None), ("tools/call", "{bad", None), ("tools/call", None, None), (None, "{}", None), ("tools/call", "[1]", None),
+        ("tools/call", '{"content": [{"type": "text", "text": "tiny"}]}', None),
+    ]
+    df = spark.createDataFrame([(i, k, p) for i, (k, p, _) in enumerate(rows)], "request_id long, kind string, payload string")
+    config = Config(mode="on", threshold_tokens=10)
+    got = tools.compress_traffic(df, config, "m").orderBy("request_id").collect()
+    assert [r["payload"] for r in got] == [p if new is None else new for _, p, new in rows]
+    assert [r["tokens_saved"] for r in got] == [before - after] + [None] * (len(rows) - 1)
+    # A repeat leaves the list, and each of the others keeps its own block; a purged one becomes text.
+    m = lambda t, n: {"role": "user", "content": {"type": "text", "text": t}, "n": n}
+    payload = json.dumps({"messages": [m("Uncaught exception", 0), m(LONG, 1), m(LONG, 2), m(LONG + " More.", 3), m("bye", 4)], "maxTokens": 5})
+    out = json.loads(tools.compress_sampling(payload, Config(mode="on", threshold_tokens=10, last_turns=1, purge_after=2))[0])
+    assert [(x["n"], x["content"]["text"]) for x in out["messages"]] == [(0, C.PURGED), (1, short), (3, K.compress_text(LONG + " More.", 500)[0]), (4, "bye")] and out["maxTokens"] == 5
+
+
+def test_annotate(spark):
+    responses = spark.createDataFrame([(1, False, "u"), (2, True, "u"), (3, False, None), (4, None, "u"), (5, False, "u")], "request_id long, stream boolean, usage string")
+    stats = spark.createDataFrame([(i, 10, 4, 0.4, "extract") for i in range(1, 5)], "request_id long, input_tokens long, output_tokens long, ratio double, method string")
+    got = {r["request_id"]: r["telemetry"] for r in S.annotate(responses, stats).collect()}
+    assert tuple(got[1]) == tuple(got[4]) == (6, 0.4, "extract") and got[2] is got[3] is got[5] is None
+
+
+def test_agreement(spark, tmp_path):
+    left = spark.createDataFrame([(1, "a", '{"x":1,"y":[1,2]}'), (2, "a", "[1,2]"), (3, "b", "1")], "k long, g string, json string")
+    right = spark.createDataFrame([(1, "a", '{"y":[1,2.0],"x":1e0}'), (2, "a", "[2,1]"), (3, "b", "1.0")], "k long, g string, json string")
+    table = reports.agreement(left, right, "k", "g")
+    text, whole = reports.dashboard(table, "Forms")
+    assert text.splitlines()[2:] == ["| g | rows | agree | match |", "|---|---|---|---|", "| a | 2 | 1 | no |", "| b | 1 | 1 | yes |"] and not whole
+    reports.write_report(table, f"file://{tmp_path}/r")
+    assert spark.read.json(f"file://{tmp_path}/r").count() == 2
+
+
+def test_streaming_drops_repeats(spark, tmp_path):
+    schema = "session string, role string, text string, ts timestamp"
+    spark.createDataFrame([("a", "user", "x"), ("a", "user", "x"), ("b", "user", "x"), ("a", "assistant", "x")], "session string, role string, text string").selectExpr("*", "timestamp'2024-01-01' AS ts").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in").withWatermark("ts", "1 hour")
+    query = R.drop_repeats(stream).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted((r["session"], r["role"]) for r in spark.table("once").collect()) == [("a", "assistant"), ("a", "user"), ("b", "user")]
 
 
 def test_entry_without_the_subpackage(monkeypatch):
@@ -238,4 +359,4 @@ def test_entry_without_the_subpackage(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("thresher.llm")]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "thresher.llm.queries", None)
-    assert set(entry.queries()) == set(Q.QUERIES) and set(entry.oracle_sql()) == set(Q.ORACLES)
+    assert set(entry.queries()) == {*Q.QUERIES, *traffic.QUERIES} and set(entry.oracle_sql()) == {*Q.ORACLES, *traffic.ORACLES}
