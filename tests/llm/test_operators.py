@@ -384,10 +384,64 @@ def test_toxicity(spark):
     assert got[5000]["predicted"] == got[5001]["predicted"] == 0
     assert got[5002]["score"] > 10 * got[0]["score"]
     assert toxicity.score(docs.limit(0), model).collect() == []
+    for label in (0, 1):  # labels of one class: their share, for every text
+        one = toxicity.fit(docs, labels.where(f"toxic = {label} AND doc_id IS NOT NULL"))
+        n = 300 if label == 0 else 80
+        assert {round(r["score"], 9) for r in toxicity.score(docs, one).collect()} == {round((n * label + 0.5) / (n + 1), 9)}
     blank = toxicity.fit(docs, labels.limit(0))
     assert all(r["predicted"] == 0 for r in toxicity.score(docs, blank).collect())
 
 
+def test_toxicity_scores(spark):
+    """Scores worked out anew: hits by edit distance to every term, contexts by slices, weights by what makes the fit best."""
+    rnd = random.Random(12)
+    terms, short = ["scumbag", "worthless", "idiotic*"], ["hag"]
+    model = toxicity.Model({t: 1.0 for t in terms + short}, np.array([-2.0, 1.5, 0.7, 2.5, 1.1]))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i] + [0] * len(b)
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    def kind(w):
+        best = 0
+        for t in terms + short:
+            stem = t.rstrip("*")
+            d = min(distance(w[:k], stem) for k in range(len(w) + 1)) if t.endswith("*") else distance(w, stem)
+            best = max(best, 2 if d == 0 else 1 if d == 1 and len(stem) >= 5 else 0)
+        return best
+
+    def score(text):
+        text = (text or "").lower()
+        spans = [m.span() for m in toxicity.WORD.finditer(text)]
+        hits = [(i, k) for i, (a, b) in enumerate(spans) if (k := kind(text[a:b]))]
+        x = [1.0, 0, 0, 0, 0]
+        for i, k in hits:
+            left = text[spans[max(0, i - 8)][0] : spans[i][0]]
+            right = text[spans[i][1] : spans[min(len(spans) - 1, i + 8)][1]]
+            quoted = sum(c in toxicity.QUOTES for c in left) % 2 == 1 and any(c in toxicity.QUOTES for c in right)
+            near = sum(0 < abs(j - i) <= 8 for j in [*[j for j, _ in hits if j < i][-1:], *[j for j, _ in hits if j > i][:1]])
+            x[1 if k == 2 else 2] += 1
+            x[3 if k == 2 else 4] += (0.25 if quoted else 1.0) + 0.5 * near
+        x = [1.0, min(x[1], 4) / 4, min(x[2], 4) / 4, min(x[3], 6) / 6, min(x[4], 6) / 6]
+        return 1 / (1 + np.exp(-np.dot(x, model.weights)))
+
+    bad = ["scumbag", "scumbg", "idiotically", "idiotc", "hag", "hags", "“worthless”", '"scumbag"', "Worthless,", "wortless"]
+    texts = [" ".join(rnd.choice(bad if rnd.random() < 0.25 else WORDS) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "scumbag " * 3000, texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]])) and r["predicted"] == (r["score"] >= 0.5)
+    x = np.array([[1.0, 0.2], [1.0, 0.9], [1.0, 0.4], [1.0, 0.7]])
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    w = toxicity._logistic(x, y)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * (1e-3 * w[0] ** 2 + 0.5 * w[1] ** 2)
+    assert all(loss(w) <= loss(w + d) for d in np.vstack([np.eye(2), -np.eye(2)]) * 1e-3)
+
+
 def test_automaton():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -456,6 +510,48 @@ def test_sharding(docs, empty, rows):
     assert sharding.shard_rows(empty).collect() == []
 
 
+def test_sharding_of_equal_rows(spark):
+    rows = [(None, "", "s")] * 300 + [(i, str(i), "s") for i in range(40)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA).repartition(3), shards=4, part_rows=20, bin_rows=10).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 340 and all(sorted(s) == list(range(85)) for s in slots.values())
+    hot = Counter(r["shard"] for r in out if r["doc_id"] is None)
+    assert min(hot.values()) > 50
+
+
+CLASHES = {
+    "n_hit": lambda d, spark: decontaminate.find_contamination(d, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
+    "n_lines": lambda d, spark: line_dedup.dedup_lines(d),
+    "score": lambda d, spark: toxicity.score(d, toxicity.Model()),
+    "slot": lambda d, spark: sharding.shard_rows(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CLASHES))
+def test_clashing_columns(spark, docs, name):
+    with pytest.raises(ValueError, match="named like"):
+        CLASHES[name](docs.withColumnRenamed("source", name), spark)
+
+
+def test_clashing_columns_elsewhere(docs):
+    """Operators that return no other columns don't mind what these are called."""
+    named = docs.limit(12).withColumnRenamed("source", "n_shingles").selectExpr("*", "1 AS block", "2 AS `key`", "3 AS component_id")
+    from pyspark.sql import functions as F
+
+    assert jaccard.jaccard_components(named).count() == substrings.remove_repeats(named).count() == lm.score_texts(named, F.lit(True)).count() == 12
+
+
+def test_texts_as_ids_raise(spark):
+    named = spark.createDataFrame([("x", "some text", [1.0], 1)], "doc_id string, text string, embedding array<double>, label int")
+    from pyspark.sql import functions as F
+
+    for run in (jaccard.jaccard_components, substrings.remove_repeats, lambda d: lm.score_texts(d, F.lit(True)), lambda d: vectors.near_duplicates(d, id_col="doc_id"), lambda d: toxicity.fit(named, d, label_col="label")):
+        with pytest.raises(ValueError, match="whole numbers"):
+            run(named)
+
+
 def test_matrix_margins():
     counts, sizes = np.array([5, 0, 7, 30, 1]), np.array([10, 11, 11, 11])
     total, known = np.concatenate([[0], np.cumsum(counts)]), {}

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_BYTES = 16 << 20
@@ -55,6 +58,14 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def long_id(df: DataFrame, col: str) -> Column:
+    """An id column as long; other columns than whole numbers are refused before anything runs."""
+    kind = df.schema[col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"{col} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(col).cast("long")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A 64-bit key of a document's content, joined on together with its id.
 
@@ -105,6 +116,26 @@ def text_slices(batch, text_col: str, batch_chars: int):
         at = end
 
 
+def squeezed(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with their text as compressed bytes, for an exchange that carries texts to Python."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in rows.schema.fields])
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            i = batch.schema.names.index(text_col)
+            packed = pa.array([packer.compress((t or "").encode()) for t in batch.column(i).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:i], packed, *batch.columns[i + 1 :]], names=batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def unsqueezed(column) -> list[bytes]:
+    """The texts of :func:`squeezed` as UTF-8."""
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(t) for t in column.to_pylist()]
+
+
 def bound_batches(spark: SparkSession, size: int = 32 << 20) -> None:
     """Arrow batches to Python are bounded by bytes too, as a few texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut, drop_cut, grown, maybe_broadcast, row_key, text_of
+from .common import bound_batches, components, cut, drop_cut, grown, long_id, maybe_broadcast, row_key, squeezed, text_of, unsqueezed
 from .substrings import BASES, Prints, _table, in_buckets, pack, unpack
 
 SENT = "bucket int, block int, n long, data binary"
@@ -46,16 +46,16 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def shingle_sets(texts: list[str], n: int, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints of each text's shingles, one text after the other, and their numbers."""
-    lengths, done = np.cumsum([len(t or "") for t in texts]), []
-    for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(lengths // step)) + 1):  # tables are kept for about ``step`` characters
+    lengths, done = np.cumsum([len(t) for t in texts]), []
+    for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(lengths // step)) + 1):  # tables are kept for about ``step`` bytes
         done.append(_shingle_sets([texts[i] for i in piece], n))
     return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
 
-def _shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode().lower() for t in texts]
+def _shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
     space = _SPACE[data]
@@ -88,7 +88,7 @@ def _shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _block(left: pa.Table, n: int, bits: int):
     """A block's rows in a fixed order, their sets, and the shortened fingerprints that are counted."""
-    rows = sorted(zip(left["doc_id"].to_pylist(), left["key"].to_pylist(), left["text"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(zip(left["doc_id"].to_pylist(), left["key"].to_pylist(), unsqueezed(left["text"])), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     marks, sizes = shingle_sets([r[2] for r in rows], n)
     short = marks & ~np.uint64((1 << (64 - bits)) - 1)
     known, inverse, count = np.unique(short, return_inverse=True, return_counts=True)
@@ -108,13 +108,13 @@ def _count_bucket(sent: pa.Table) -> pa.Table:
 def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_bytes: int, bucket_rows: int) -> DataFrame:
     """A row for each document; tokens and prefix (shared shingles of it) are null where it links with nothing."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block_bytes, bucket_rows = grown(total, block_bytes, bucket_rows)
     blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // (7 * bucket_rows)))
     # Shortened fingerprints only order shingles: two that fall together are both taken for less rare.
     bits = min(63, 18 + max(1, total).bit_length())
-    texts = rows.select(F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "key", "text").groupBy("block")
+    texts = squeezed(rows.select(F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "key", "text")).groupBy("block")
 
     def send(left: pa.Table) -> pa.Table:
         _, _, _, known, _, count = _block(left, n, bits)

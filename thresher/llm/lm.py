@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, drop_cut, grown, spread, text_slices
+from .common import bound_batches, cut, drop_cut, grown, long_id, spread, text_slices
 from .substrings import in_buckets
 
 BLOCKS = "block long, doc_ids array<long>, lengths array<int>, trained array<boolean>, codes binary, n_words long, words binary, counts binary"
@@ -81,7 +81,7 @@ def marks_of(words: list[bytes]) -> np.ndarray:
 
 def blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
     """Tokenised blocks of about ``block_tokens`` tokens, numbered by task and order, words in the order of their hashes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("trained"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.coalesce(train, F.lit(True)).alias("trained"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         part, number, held = TaskContext.get().partitionId(), 0, 0

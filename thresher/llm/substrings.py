@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, grown, ragged, row_key, text_of
+from .common import bound_batches, grown, long_id, ragged, row_key, squeezed, text_of, unsqueezed
 
 _M = np.uint64(0xBF58476D1CE4E5B9)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -89,11 +89,11 @@ class Block:
 
     def __init__(self, docs: pa.Table, notes: pa.Table, length: int):
         self.length = length
-        rows = sorted(zip(docs["doc_id"].to_pylist(), docs["key"].to_pylist(), docs["text"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(zip(docs["doc_id"].to_pylist(), docs["key"].to_pylist(), unsqueezed(docs["text"])), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         notes = notes.to_pydict()
         flags = {(i, k): n for kind, i, k, n in zip(notes["kind"], notes["doc_id"], notes["key"], notes["n"]) if kind == 0}
         self.bits = {kind: {b: (n, d) for x, b, n, d in zip(notes["kind"], notes["bucket"], notes["n"], notes["data"]) if x == kind} for kind in (1, 2)}
-        self.rows = [(i, k, (t or "").encode()) for i, k, t in rows]
+        self.rows = rows
         self.copied = [(i, k) in flags for i, k, _ in self.rows]
         seen: set = set()
         self.own = []  # rows in the buffer
@@ -220,7 +220,7 @@ def _sort_bucket(kind: int):
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_rows: int = 1_000_000) -> DataFrame:
     """Of each document: doc_id, n_bytes (long), spans (removed runs of bytes, array<struct<a, b>>), kept (binary)."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     digest = rows.select("doc_id", "key", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     total = digest.agg(F.sum("bytes")).first()[0] or 0
     block_bytes, bucket_rows = grown(total, block_bytes, bucket_rows)
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     cover_buckets = max(1, -(-total * len(residues) // (v * bucket_rows)))
     string_buckets = max(1, -(-total // (4 * bucket_rows)))
     block = F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block")
-    texts = rows.select(block, "doc_id", "key", "text").groupBy("block")
+    texts = squeezed(rows.select(block, "doc_id", "key", "text")).groupBy("block")
 
     groups = digest.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "key")).alias("first")).where("copies > 1")
     copies = digest.join(groups, ["t1", "t2"])

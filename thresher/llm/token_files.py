@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, row_key, shared_dir, text_of, text_slices, ragged
+from .common import bound_batches, long_id, ragged, row_key, shared_dir, text_of, text_slices
 
 MAGIC = b"DAC1"
 RANK_BYTES = 64
@@ -231,7 +231,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     bound_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     n, job = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
     ordered = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
 

@@ -12,7 +12,8 @@ their context scores gives the score.
 
 What is defined for odd input: null or empty text has no hits and gets the model's score for that;
 labels that are null or not 0 or 1, or whose id is null or unknown, are left out; of several
-labels for an id the greatest holds; without any usable label the score is 0; an empty table gives
+labels for an id the greatest holds; without any usable label the score is 0; where no term tells labels apart,
+as when all are of one class, every score is the share of label 1, (n1 + 0.5) / (n + 1); an empty table gives
 an empty table; other columns pass through, and fitting looks at none but id, text and label.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, text_slices
+from .common import bound_batches, long_id, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation.
@@ -188,12 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """Learn from at most ``sample_rows`` labelled rows (of those where ``keep`` holds, a condition on the labels)."""
     bound_batches(docs.sparkSession)
     usable = labels if keep is None else labels.where(keep)
-    usable = usable.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("__id IS NOT NULL AND label IN (0, 1)")
+    usable = usable.select(long_id(usable, id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).where("__id IS NOT NULL AND label IN (0, 1)")
     usable = usable.groupBy("__id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))  # bounded by sample_rows
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(chosen, "__id").select("text", "label")
+    sample = docs.select(long_id(docs, id_col).alias("__id"), F.col(text_col).alias("text")).join(chosen, "__id").select("text", "label")
     model = Model(_terms(sample, min_docs, min_share, min_odds, max_terms))
     if not model.terms:
+        n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two classes
+        if n:
+            model.weights[0] = np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))
         return model
 
     def rows(batches):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_cut, maybe_broadcast
+from .common import components, cut, drop_cut, long_id, maybe_broadcast
 
 EDGE = "a long, b long, cos double"
 
@@ -237,7 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """Of each vector: vec_id, n_links, component_id (long), kept (boolean: it is its component's smallest id)."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), v.alias("v"), F.coalesce(finite, F.lit(False)).alias("finite"))
+    rows = vectors.select(long_id(vectors, id_col).alias("vec_id"), F.col(label_col).cast("int").alias("label"), v.alias("v"), F.coalesce(finite, F.lit(False)).alias("finite"))
     rows = rows.withColumn("norm", F.when(F.col("finite"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))))
     valid = F.coalesce(F.col("finite") & (F.col("norm") > 0) & (F.col("norm") < float("inf")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.select("vec_id", "label", "v", "norm", F.when(valid, F.xxhash64("label", "v")).alias("h1"), F.when(valid, F.xxhash64(F.lit(7), "v")).alias("h2"))
