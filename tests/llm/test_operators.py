@@ -94,7 +94,7 @@ def test_jaccard(spark, rows, empty, n, percent):
     family.append((None, " ".join(base), "f"))
     family += [(600 + k, " ".join(f"w{i}" for i in range(10 ** (k + 1))), "s") for k in range(3)]  # one inside the other: a tenth at 1 word
     data = rows + family
-    found = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA), n, percent, block_bytes=20_000, bucket_rows=300, chunk=17).collect()
+    found = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA), n, percent, block_bytes=20_000, bucket_rows=300, chunk=17, chunk_shingles=900).collect()
     sets = {}
     for i, t, _ in data:
         w = (t or "").encode().lower().split()

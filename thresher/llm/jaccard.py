@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, cut, drop_cut, grown, long_id, maybe_broadcast, row_key, squeezed, text_of, unsqueezed
@@ -242,17 +242,20 @@ def _members_links(percent: int):
     return run
 
 
-def _chunk_pairs(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """``rows`` (with members, the number of its group's) dealt out to all pairs of their group's chunks: lo, hi and side added."""
-    rows = rows.withColumn("n", F.ceil(F.col("members") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+def _chunk_pairs(rows: DataFrame, keys: list[str], chunks: Column) -> DataFrame:
+    """``rows`` dealt out to all pairs of their group's ``chunks``: lo, hi and side added."""
+    rows = rows.withColumn("n", chunks.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return rows.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "rep", *[c for c in ("component", "weight") if c in rows.columns and c not in keys])
 
 
-def _link_counts(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Of members (rep, component, weight) of components of several: (rep, links), the weights of those that each links with."""
-    size = members.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    shipped = _chunk_pairs(members.join(size, "component"), ["component"], chunk).join(sets.select("rep", "tokens"), "rep")
+def _link_counts(members: DataFrame, sets: DataFrame, percent: int, chunk_shingles: int) -> DataFrame:
+    """Of members (rep, size, component, weight) of components of several: (rep, links), the weights of those that each links with."""
+    # Chunks are bounded by their shingles, so that few components are dealt out more than once.
+    size = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")).where("members > 1")
+    pairs = _chunk_pairs(members.join(size, "component"), ["component"], F.ceil(F.col("shingles") / chunk_shingles))
+    # Few members are sent to the sets, which then aren't exchanged by id first.
+    shipped = maybe_broadcast(pairs, 48).join(sets.select("rep", "tokens"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending")])
@@ -273,10 +276,11 @@ def _link_counts(members: DataFrame, sets: DataFrame, percent: int, chunk: int)
     return shipped.groupBy("component", "lo", "hi").applyInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_rows: int = 1_000_000, chunk: int = 1_500) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_rows: int = 1_000_000, chunk: int = 1_500, chunk_shingles: int = 2_500_000, count_links: bool = True) -> DataFrame:
     """Of each document: doc_id, n_shingles (long), component_id (long, the smallest id reachable by links), n_links (long).
 
-    Documents are counted by rows: n_links is the number of other rows with an id that link directly.
+    Documents are counted by rows: n_links is the number of other rows with an id that link directly
+    (null where ``count_links`` is off, which spares the products).
     """
     all_sets = cut(candidate_sets(docs, n, percent, id_col, text_col, block_bytes, bucket_rows), "sets")
     found = all_sets.where("tokens IS NOT NULL")
@@ -311,19 +315,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     open_groups = span.where("lo <> hi AND members > 1").select("gid", F.col("gid").alias("token"), F.lit(-1).alias("length"), "members")
     rows = met.select("token", "length", "gid").join(open_buckets, ["token", "length"]).select("gid", "token", "length", "members").union(open_groups)
     # A bucket of more than ``chunk`` members is taken in pairs of chunks, so a task's memory is bounded.
-    rows = _chunk_pairs(rows.join(members, "gid"), ["token", "length"], chunk)
-    shipped = rows.join(sets.select("rep", "tokens"), "rep")
+    rows = _chunk_pairs(rows.join(members, "gid"), ["token", "length"], F.ceil(F.col("members") / chunk))
+    rows = cut(rows, "pairs")
+    shipped = maybe_broadcast(rows, 60).join(sets.select("rep", "tokens"), "rep")
     more = shipped.groupBy("token", "length", "lo", "hi").applyInArrow(_members_links(percent), "a long, b long")
     more = cut(more, "links")
     joined = components(links.union(more))
 
     homes = cut(node(classes.select("rep", "weight", *same), "rep"), "homes")
-    counts = _link_counts(homes.select("rep", "component", "weight"), sets, percent, chunk)
-    homes_links = cut(homes.join(counts, "rep", "left").select(*same, "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "links")
+    counts = _link_counts(homes.select("rep", "size", "component", "weight"), sets, percent, chunk_shingles) if count_links else None
+    homes_links = cut((homes.withColumn("links", F.lit(None).cast("long")) if counts is None else homes.join(counts, "rep", "left")).select(*same, "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "links")
     out = all_sets.select("doc_id", *same).join(maybe_broadcast(homes_links, 48), same, "left")
-    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull() & F.lit(count_links), F.coalesce("n_links", F.lit(0))).alias("n_links"))
     result = cut(out, "components")
-    for table in (all_sets, classes, sets, met, links, members, more, homes, homes_links):
+    for table in (all_sets, classes, sets, met, links, members, rows, more, homes, homes_links):
         drop_cut(table)
     return result
 
