@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    found = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY)
+    found = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY, count_links=False)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(maybe_broadcast(gone, 8), "doc_id", "left_anti").select(docs.columns)
 
