@@ -172,8 +172,8 @@ def _linked(inter, a, b, percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    left, right = (sets.select(F.col("rep").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    """Those of the pairs (a, b), b the first of its group, that link."""
+    left, right = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), sets.where("rep = gid").select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batches):
         for batch in batches:
@@ -283,32 +283,38 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     (null where ``count_links`` is off, which spares the products).
     """
     all_sets = cut(candidate_sets(docs, n, percent, id_col, text_col, block_bytes, bucket_rows), "sets")
-    found = all_sets.where("tokens IS NOT NULL")
+    found = all_sets.where("prefix IS NOT NULL")
     same = ["size", "s1", "s2"]
-    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    reps = found.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", *same]).groupBy("rep", "size").agg(F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
-    groups = reps.groupBy("size", "prefix").agg(F.min("rep").alias("gid"))
-    sets = cut(reps.join(groups, ["size", "prefix"]), "reps")
+    # Classes, groups and buckets are found without the shingles; only sets that are compared are exchanged, by id and once.
+    classes = cut(found.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("prefix").alias("prefix")), "classes")
+    groups = cut(classes.groupBy("size", "prefix").agg(F.min("rep").alias("gid")), "groups")
+    homes = cut(classes.join(groups, ["size", "prefix"]).drop("prefix"), "homes")
 
     if percent == 100:
         class_of = F.col("size").cast("int")
     else:
         bounds = length_bounds(classes.agg(F.max("size")).first()[0] or 0, percent)
         class_of = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("size")))
-    leaders = sets.where("rep = gid").select("gid", "size", F.explode(F.array_distinct("prefix")).alias("token"))
+    leaders = groups.select("gid", "size", F.explode(F.array_distinct("prefix")).alias("token"))
     placed = leaders.select("token", "gid", F.explode(F.array(class_of, class_of + 1)).alias("length"))
     mark = F.xxhash64("gid")
     buckets = placed.groupBy("token", "length").agg(F.count("*").alias("groups"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "gid")).alias("y"), F.min(F.struct(mark.alias("h"), F.col("gid").alias("leader"))).alias("first")).where("groups > 1")
     buckets = buckets.groupBy("groups", "x", "y", "first.leader").agg(F.min(F.struct("token", "length")).alias("key")).select("key.token", "key.length", "groups", "leader")
     met = cut(placed.join(buckets, ["token", "length"]), "buckets")
 
-    stars = met.where("gid <> leader").select(F.col("gid").alias("a"), F.col("leader").alias("b")).union(sets.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-    links = cut(_verify(stars.distinct(), sets, percent), "links")
+    stars = met.where("gid <> leader").select(F.col("gid").alias("a"), F.col("leader").alias("b")).union(homes.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
+    stars = cut(stars.distinct(), "stars")
+    # All that is compared below is in a star: a bucket's groups and a group's members have one with their leader.
+    compared = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = homes.join(compared, "rep", "left_semi").select(F.col("rep").alias("doc_id"), *same, "gid")
+    keys = ["doc_id", *same]
+    sets = cut(found.join(wanted, keys).groupBy(*keys).agg(F.first("gid").alias("gid"), F.first("tokens").alias("tokens")).withColumnRenamed("doc_id", "rep"), "reps")
+    links = cut(_verify(stars, sets, percent), "links")
     joined = components(links)
     node = lambda df, col: df.join(joined.withColumnRenamed("node", col), col, "left").withColumn("component", F.coalesce("component", F.col(col)))
 
     # What is left: groups, and buckets, with more than one component.
-    members = cut(node(sets.select("rep", "gid"), "rep"), "members")
+    members = cut(node(homes.select("rep", "gid"), "rep"), "members")
     span = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     keyed = met.join(span, "gid")
     open_buckets = keyed.groupBy("token", "length").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("members").alias("members")).where("lo <> hi").select("token", "length", "members")
@@ -322,13 +328,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     more = cut(more, "links")
     joined = components(links.union(more))
 
-    homes = cut(node(classes.select("rep", "weight", *same), "rep"), "homes")
-    counts = _link_counts(homes.select("rep", "size", "component", "weight"), sets, percent, chunk_shingles) if count_links else None
-    homes_links = cut((homes.withColumn("links", F.lit(None).cast("long")) if counts is None else homes.join(counts, "rep", "left")).select(*same, "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "links")
+    placed_homes = cut(node(homes.select("rep", "weight", *same), "rep"), "homes")
+    counts = _link_counts(placed_homes.select("rep", "size", "component", "weight"), sets, percent, chunk_shingles) if count_links else None
+    homes_links = cut((placed_homes.withColumn("links", F.lit(None).cast("long")) if counts is None else placed_homes.join(counts, "rep", "left")).select(*same, "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "links")
     out = all_sets.select("doc_id", *same).join(maybe_broadcast(homes_links, 48), same, "left")
     out = out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull() & F.lit(count_links), F.coalesce("n_links", F.lit(0))).alias("n_links"))
     result = cut(out, "components")
-    for table in (all_sets, classes, sets, met, links, members, rows, more, homes, homes_links):
+    for table in (all_sets, classes, groups, homes, met, stars, sets, links, members, rows, more, placed_homes, homes_links):
         drop_cut(table)
     return result
 
