@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -141,6 +142,26 @@ def bound_batches(spark: SparkSession, size: int = 32 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def give_back() -> None:
+    """Give freed memory back to the system, which a worker would else hold while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(function, least: int = 1 << 20):
+    """``function`` of Arrow tables to one, which gives memory back after groups of so many bytes."""
+
+    def run(*tables):
+        out = function(*tables)
+        if sum(t.nbytes for t in tables) >= least:
+            give_back()
+        return out
+
+    # Spark tells by the number of parameters whether a group's key is wanted.
+    return (lambda left, right: run(left, right)) if function.__code__.co_argcount == 2 else (lambda table: run(table))
+
+
 def components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: edges (a, b) of longs -> (node, component), component the smallest node.
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut, drop_cut, grown, long_id, maybe_broadcast, row_key, squeezed, text_of, unsqueezed
+from .common import bound_batches, components, cut, drop_cut, grown, lean, long_id, maybe_broadcast, row_key, squeezed, text_of, unsqueezed
 from .substrings import BASES, Prints, _table, in_buckets, pack, unpack
 
 SENT = "bucket int, block int, n long, data binary"
@@ -122,7 +122,7 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         number, more = left["block"][0].as_py(), np.minimum(count, 65535).astype(np.uint16)
         return _table(SENT, [(b, number, e - a, pack(known[a:e], more[a:e])) for b, a, e in cuts])
 
-    back = texts.applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_count_bucket, BACK)
+    back = texts.applyInArrow(lean(send), SENT).groupBy("bucket").applyInArrow(lean(_count_bucket), BACK)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -153,7 +153,7 @@ def candidate_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in SETS.split(", ")])
 
-    return texts.cogroup(back.groupBy("block")).applyInArrow(finish, SETS)
+    return texts.cogroup(back.groupBy("block")).applyInArrow(lean(finish), SETS)
 
 
 def length_bounds(largest: int, percent: int) -> list[int]:
@@ -273,7 +273,7 @@ def _link_counts(members: DataFrame, sets: DataFrame, percent: int, chunk_shingl
                 links[y] += hits.T @ weight[x]
         return pa.table({"rep": table["rep"], "links": pa.array(links)})
 
-    return shipped.groupBy("component", "lo", "hi").applyInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return shipped.groupBy("component", "lo", "hi").applyInArrow(lean(run), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_rows: int = 1_000_000, chunk: int = 1_500, chunk_shingles: int = 2_500_000, count_links: bool = True) -> DataFrame:
@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     rows = _chunk_pairs(rows.join(members, "gid"), ["token", "length"], F.ceil(F.col("members") / chunk))
     rows = cut(rows, "pairs")
     shipped = maybe_broadcast(rows, 60).join(sets.select("rep", "tokens"), "rep")
-    more = shipped.groupBy("token", "length", "lo", "hi").applyInArrow(_members_links(percent), "a long, b long")
+    more = shipped.groupBy("token", "length", "lo", "hi").applyInArrow(lean(_members_links(percent)), "a long, b long")
     more = cut(more, "links")
     joined = components(links.union(more))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, ragged, text_slices
+from .common import bound_batches, give_back, ragged, text_slices
 
 ADDED = ("ids", "decoded")
 MARK = "▁"
@@ -97,7 +97,7 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(" " + text)]
 
 
-def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "text", table_rows: int = 400_000, batch_chars: int = 4_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "text", table_rows: int = 400_000, batch_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with ids (array<int>, without begin or end ids) and decoded (string)."""
     if clash := [c for c in docs.columns if c in ADDED]:
         raise ValueError(f"columns named like added ones: {clash}")
@@ -112,6 +112,8 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=[*part.schema.names, *ADDED])
+        del table
+        give_back()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, long_id, text_slices
+from .common import bound_batches, give_back, long_id, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation.
@@ -225,6 +225,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", batch_chars: in
                 x = np.array([features(t, auto, model.window) for t in texts])
                 p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -60, 60)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+        del auto
+        give_back()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
