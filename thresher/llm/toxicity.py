@@ -67,7 +67,7 @@ class Automaton:
             word, prefix, _ = self.final[at]
             self.final[at] = (word or not term.endswith("*"), prefix or term.endswith("*"), len(stem) >= fuzzy_length)
         self.start = self._close({(0, 0)})
-        self.next: dict[tuple[frozenset, str], frozenset] = {}
+        self.next: dict[tuple[frozenset, str], tuple[frozenset, int]] = {}
         self.known: dict[str, int] = {}
 
     def _close(self, states: set[tuple[int, int]]) -> frozenset:
@@ -75,12 +75,14 @@ class Automaton:
         states |= {(k, 1) for n, e in states if not e for k in self.child[n].values()}
         return frozenset((n, e) for n, e in states if not e or (n, 0) not in states)
 
-    def _step(self, states: frozenset, c: str) -> frozenset:
+    def _step(self, states: frozenset, c: str) -> tuple[frozenset, int]:
+        """The states after a letter, and whether a stem ends in them."""
         key = (states, c)
         if key not in self.next:
             out = {(self.child[n][c], e) for n, e in states if c in self.child[n]}
             out |= {x for n, e in states if not e for x in [(n, 1), *((k, 1) for k in self.child[n].values())]}
-            self.next[key] = self._close(out)
+            closed = self._close(out)
+            self.next[key] = closed, self._ends(closed, 1)
         return self.next[key]
 
     def _ends(self, states: frozenset, which: int) -> int:
@@ -93,10 +95,9 @@ class Automaton:
             return found
         states, best = self.start, 0
         for c in word:
-            states = self._step(states, c)
-            if not states:
-                break
-            if (best := max(best, self._ends(states, 1))) == 2:
+            states, end = self._step(states, c)
+            best = max(best, end)
+            if best == 2 or not states:
                 break
         else:
             best = max(best, self._ends(states, 0))
