@@ -109,9 +109,15 @@ def is_list_line(line: Column) -> Column:
 
 
 def shingles(words: Column) -> Column:
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(words, i, 3)))
-    return F.when(n >= 3, F.array_distinct(windows)).when(n > 0, F.array(F.concat_ws(" ", words))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three words; all words as one where there are fewer."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
+        return F.when(n >= 3, F.array_distinct(windows)).when(n > 0, F.array(F.concat_ws(" ", w))).otherwise(F.array().cast("array<string>"))
+
+    # Bound as a variable: an expression within the windows' lambda would be worked out for each window.
+    return F.transform(F.array(words), of)[0]
 
 
 def has_digit(text: Column) -> Column:
