@@ -602,3 +602,19 @@ def test_toxicity_rare_terms(spark):
     data += [(2_000 + i, "verylongcommonslur", 1) for i in range(100)]
     sample = spark.createDataFrame(data, "id long, text string, label int").select("text", "label")
     assert known("verylongcommonslur", toxicity._terms(sample, 3, 0.0, 10.0, 2))
+
+
+def test_toxicity_of_near_copies(spark):
+    # 40 near copies of a toxic text: its slur is learned from other texts too, its other words aren't.
+    rnd = random.Random(9)
+    words = [f"{chr(97 + i) * 3}copied" for i in range(20)]
+    data = []
+    for i in range(40):
+        text = list(words)
+        text[rnd.randrange(20)] = "other"
+        data.append((" ".join([*text, "zqslur", prose(rnd, 3)]), 1))
+    data += [(prose(rnd, 6) + " zqslur " + prose(rnd, 6), 1) for _ in range(100)]
+    data += [(prose(rnd, 12), 0) for _ in range(600)]
+    terms = toxicity._terms(spark.createDataFrame(data, "text string, label int"), 3, 0.02, 20.0, 2_000)
+    known = lambda w: w in terms or any(w.startswith(s[:-1]) for s in terms if s.endswith("*"))
+    assert known("zqslur") and not any(map(known, words))

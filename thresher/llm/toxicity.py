@@ -2,7 +2,7 @@
 
 Fitting takes a bounded sample of labelled rows (``sample_rows``, chosen by a hash of the id).  Terms
 are words, or stems (a stem matches every word that begins with it), that toxic sample documents
-have far more often than others.  A trie holds the terms; a Levenshtein automaton of one edit is
+have far more often than others, between different neighbours: copies of a text aren't so many observations.  A trie holds the terms; a Levenshtein automaton of one edit is
 intersected with it and made deterministic as words are read, so a word leaves the automaton as
 soon as no term is within an edit of it.  Short terms match exactly only.
 
@@ -128,6 +128,38 @@ def features(text: str, auto: Automaton, window: int) -> list[float]:
     return [1.0, min(exact, 4) / 4, min(fuzzy, 4) / 4, min(scores[0], 6.0) / 6, min(scores[1], 6.0) / 6]
 
 
+def _variety(sample: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of each term its accessor variety: the fewer of the different words before it and after it in the sample.
+
+    Copies of a text, near ones too, are many documents but hold a word between the same neighbours, so they
+    aren't so many observations of it.  Each start or end of a text counts as a neighbour of its own.
+    """
+
+    def triples(batches):
+        seen: Counter = Counter()
+
+        def flush():
+            columns = list(zip(*seen)) or [[], [], []]
+            out = pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(("word", "before", "after"), columns)} | {"n": pd.Series(list(seen.values()), dtype="int64")})
+            seen.clear()
+            return out
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = WORD.findall((text or "").lower())
+                seen.update(zip(words, [None, *words], [*words[1:], None]))
+                if len(seen) > 1_000_000:
+                    yield flush()
+        yield flush()
+
+    near = sample.select("text").mapInPandas(triples, "word string, before string, after string, n long")
+    stems = [F.when(F.length("word") >= k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    near = near.select(F.explode(F.array_compact(F.array("word", *stems))).alias("term"), "before", "after", "n")
+    near = near.join(terms.select("term"), "term", "left_semi")
+    variety = lambda c: F.countDistinct(c) + F.sum(F.when(F.col(c).isNull(), F.col("n")).otherwise(0))
+    return near.groupBy("term").agg(F.least(variety("before"), variety("after")).alias("variety"))
+
+
 def _terms(sample: DataFrame, min_docs: int, min_share: float, min_odds: float, max_terms: int) -> dict[str, float]:
     def count(batches):
         seen = {0: Counter(), 1: Counter()}
@@ -154,13 +186,15 @@ def _terms(sample: DataFrame, min_docs: int, min_share: float, min_odds: float,
         return {}
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
     kept = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= min_docs)
+    candidates = kept.count()
+    kept = kept.withColumn("odds", odds).where(F.col("odds") >= min_odds)
+    kept = kept.join(_variety(sample.where("label = 1"), kept), "term").withColumn("seen", F.least("toxic", "variety"))
     # Evidence is the Chernoff bound, as a negative logarithm, on so large a toxic share by chance.  A rare term is
     # kept if less than one of all candidates is expected to reach that, a common one by its odds alone.
-    base, q = toxic / (toxic + clean), F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    evidence = F.col("toxic") * F.log(q / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    kept = kept.withColumns({"odds": odds, "evidence": evidence})
-    candidates = kept.count()
-    kept = kept.where((F.col("odds") >= min_odds) & ((F.col("toxic") >= min_share * toxic) | (F.col("evidence") >= float(np.log(max(candidates, 1))))))
+    base, q = toxic / (toxic + clean), F.col("seen") / (F.col("seen") + F.col("clean"))
+    evidence = F.col("seen") * F.log(q / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - q) / (1 - base))).otherwise(0.0)
+    kept = kept.withColumn("evidence", F.when(q > base, evidence).otherwise(0.0))
+    kept = kept.where((F.col("seen") >= min_share * toxic) | (F.col("evidence") >= float(np.log(max(candidates, 1)))))
     # The model is bounded by max_terms, whatever the sample; the terms of most evidence come first.
     rows = kept.orderBy(F.desc("evidence"), F.length("term"), "term").limit(20 * max_terms).collect()  # bounded by max_terms
     stems: set[str] = set()
