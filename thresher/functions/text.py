@@ -156,7 +156,7 @@ def sentences(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def selected(text: pd.Series, ratio_millis: pd.Series) -> pd.Series:
     """Indices of the sentences that compression keeps."""
-    return pd.Series([K.select(K.segment(t or ""), r) if K.segment(t or "") else [] for t, r in zip(text, ratio_millis)])
+    return pd.Series([K.select(rows, r) if (rows := K.segment(t or "")) else [] for t, r in zip(text, ratio_millis)])
 
 
 @F.pandas_udf(counted("text"))
