@@ -521,6 +521,34 @@ def test_sharding_of_equal_rows(spark):
     assert min(hot.values()) > 50
 
 
+def test_sharding_query(spark, docs, rows, tmp_path, monkeypatch):
+    """The query puts the texts themselves into shards, and its digests are of the texts that came there."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept, real = [], sharding.shard_rows
+    monkeypatch.setattr(sharding, "shard_rows", lambda *args, **kw: kept.append(real(*args, **kw)) or kept[-1])
+    query = sharding.query(spark, str(tmp_path))
+    moved = {(r["shard"], r["slot"]): (r["doc_id"], r["text"]) for r in kept[0].collect()}
+    assert Counter(moved.values()) == Counter((i, t) for i, t, _ in rows)
+    out = query.collect()
+    assert len(out) == len(rows) and {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
+    for r in out:
+        i, t = moved[r["shard"], r["slot"]]
+        utf8 = (t or "").encode()
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (i, len(utf8) + 1, zlib.crc32(utf8))
+    # The plan doesn't leave them out either: the exchange into shards carries them.
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(query._jdf.queryExecution(), "formatted")
+    sent = [node for node in plan.split("\n\n") if "Exchange" in node and "hashpartitioning(shard" in node and "__again" in node]
+    assert sent and all("text#" in node for node in sent)
+
+
+def test_sharding_of_equal_checksums(spark):
+    """Different texts of one CRC32 and no id are told apart, so that a task that runs again deals them out as before."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    texts = ["plumless", "buckeroo"]
+    place = lambda x: {r["text"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(spark.createDataFrame([(None, t, "s") for t in x], SCHEMA).coalesce(1), shards=2).collect()}
+    assert place(texts) == place(texts[::-1])
+
+
 CLASHES = {
     "n_hit": lambda d, spark: decontaminate.find_contamination(d, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
     "n_lines": lambda d, spark: line_dedup.dedup_lines(d),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, maybe_broadcast, text_of
+from .common import cut, maybe_broadcast, row_key, text_of
 
 ADDED = ("shard", "slot")
 MOST_PARTS = 200_000
@@ -99,7 +99,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
     part_rows = max(part_rows, -(-rows // MOST_PARTS))
     parts, bins = max(1, -(-rows // part_rows)), max(1, -(-rows // (shards * bin_rows)))
     # Also rows whose id is null or repeats are spread by their text.
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text_of(text_col).cast("binary")))
+    order = F.xxhash64(F.lit(seed), row_key(id_col, text_col))
     keyed = docs.withColumn("__order", order)
     hot = [r[0] for r in keyed.groupBy("__order").count().where(F.col("count") > part_rows).select("__order").collect()]  # fewer than parts
     if hot:
@@ -143,7 +143,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10: all ``documents`` into 16 shards under the law ``rows``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     utf8 = text_of().cast("binary")
-    # The digests are taken before the exchange, so that it doesn't carry the texts.
-    digest = docs.select("doc_id", (F.octet_length(utf8) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"))
-    out = shard_rows(digest.withColumn("text", F.col("text_crc32").cast("string")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # The digests are of the texts that came into the shards: the exchanges carry whole documents.
+    size, crc = (F.octet_length(utf8) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32")
+    return shard_rows(docs).select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
