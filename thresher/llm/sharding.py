@@ -34,6 +34,10 @@ from .common import cut, maybe_broadcast, row_key, text_of
 ADDED = ("shard", "slot")
 MOST_PARTS = 200_000
 
+#: Each part and each bin is a task of its own, whatever spark.sql.shuffle.partitions is, up to this many tasks or that
+#: setting, if it is larger; beyond that they share tasks.
+MOST_TASKS = 20_000
+
 
 #: numpy draws hypergeometric numbers of populations below this.
 NUMPY_POPULATION = 10**9
@@ -118,24 +122,28 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
             ends = [np.cumsum(matrix_row(p, total, sizes, seed, known)) for p in pdf["__part"]]
             yield pd.DataFrame({"__part": pdf["__part"], "__ends": ends})
 
+    most = max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_part, by_box = (min(parts, most), "__part"), (min(shards * bins, most), "__box")
     matrix = cut(spark.range(parts).select(F.col("id").cast("int").alias("__part")).mapInPandas(draw, schema), "matrix")
-    sent = maybe_broadcast(matrix, 8 * shards + 16)
+    # Laid out like the rows, so that a join which isn't broadcast doesn't move these again.
+    sent = maybe_broadcast(matrix.repartitionById(*by_part), 8 * shards + 16)
 
     def deal(frame: DataFrame) -> DataFrame:
         local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 1), "__order"), "__order")
-        dealt = frame.withColumn("__rank", F.row_number().over(local)).join(sent, "__part")
+        dealt = frame.repartitionById(*by_part).withColumn("__rank", F.row_number().over(local)).join(sent, "__part")
         # The shard is the number of shards whose rows are all dealt before this rank.
         dealt = dealt.withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__rank"))))
         dealt = dealt.withColumn("__again", F.xxhash64(F.lit(seed + 2), "__order"))
         slice_of = F.shiftrightunsigned("__again", 33) * F.lit(bins).cast("long")
-        return dealt.withColumn("__bin", F.shiftright(slice_of, 31)).drop("__ends", "__rank", "__part")
+        # A box is a bin of a shard.
+        return dealt.withColumn("__box", (F.col("shard") * bins + F.shiftright(slice_of, 31)).cast("int")).drop("__ends", "__rank", "__part")
 
     # Rows equal in __order share a bin, so their ties don't change the counts.
-    sized = deal(keyed.select("__order", "__part")).groupBy("shard", "__bin").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sized.select("shard", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")), "bins")
-    again = Window.partitionBy("shard", "__bin").orderBy("__again", "__order")
-    placed = deal(keyed).withColumn("__place", F.row_number().over(again) - 1).join(maybe_broadcast(starts, 24), ["shard", "__bin"])
+    sized = deal(keyed.select("__order", "__part")).groupBy("shard", "__box").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__box").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sized.select("__box", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")), "bins")
+    again = Window.partitionBy("__box").orderBy("__again", "__order")
+    placed = deal(keyed).repartitionById(*by_box).withColumn("__place", F.row_number().over(again) - 1).join(maybe_broadcast(starts.repartitionById(*by_box), 24), "__box")
     return placed.withColumn("slot", F.col("__first") + F.col("__place")).select(*docs.columns, "shard", "slot")
 
 
