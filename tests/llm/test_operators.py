@@ -565,6 +565,16 @@ def test_sharding_of_equal_checksums(spark):
     assert place(texts) == place(texts[::-1])
 
 
+def test_sharding_writes_equal_rows_only(spark, monkeypatch):
+    """Numbers that spread equal rows are written for these alone, not with the texts of all other rows."""
+    written, real = {}, sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df, name: written.setdefault(name, real(df, name)))
+    rows = [(None, "", "s")] * 60 + [(i, str(i), "s") for i in range(40)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA).repartition(3), shards=4, part_rows=20, bin_rows=10)
+    assert Counter((r["doc_id"], r["text"]) for r in written["spread"].collect()) == {(None, ""): 60}
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((i, t) for i, t, _ in rows)
+
+
 CLASHES = {
     "n_hit": lambda d, spark: decontaminate.find_contamination(d, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
     "n_lines": lambda d, spark: line_dedup.dedup_lines(d),

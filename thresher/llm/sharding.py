@@ -107,8 +107,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
     keyed = docs.withColumn("__order", order)
     hot = [r[0] for r in keyed.groupBy("__order").count().where(F.col("count") > part_rows).select("__order").collect()]  # fewer than parts
     if hot:
-        keyed = cut(keyed.withColumn("__salt", F.when(F.col("__order").isin(hot), F.monotonically_increasing_id())), "spread")
-        keyed = keyed.withColumn("__order", F.when(F.col("__salt").isNotNull(), F.xxhash64("__order", "__salt")).otherwise(F.col("__order"))).drop("__salt")
+        equal = F.col("__order").isin(hot)
+        salted = cut(keyed.where(equal).withColumn("__salt", F.monotonically_increasing_id()), "spread")  # no other row's text
+        keyed = keyed.where(~equal).union(salted.withColumn("__order", F.xxhash64("__order", "__salt")).drop("__salt"))
     keyed = keyed.withColumn("__part", F.pmod(F.col("__order"), F.lit(parts)).cast("int"))
     found = {r[0]: r[1] for r in keyed.groupBy("__part").count().collect()}  # one count for each part
     total = np.concatenate([[0], np.cumsum([found.get(p, 0) for p in range(parts)])]).astype(np.int64)
