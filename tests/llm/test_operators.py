@@ -487,6 +487,57 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     assert token_files.read(spark, f"{path}-empty").collect() == []
 
 
+def test_word_table_encodes_little():
+    """Words differing in case or in the punctuation behind them are encoded once, and a full table keeps what came again."""
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok, self.sent = tok, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.sent += texts
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    table = token_files.WordTable(token_files.default_tokenizer(), 200)
+    table.tok, table.bare = whole, bare = Spy(table.tok), Spy(table.bare)
+    common = " ".join(WORDS)
+    table.encode([common, " ".join(w.title() + tail for w in WORDS for tail in ("!!", "...", ",***", "'"))], 1)
+    assert sorted(" ".join(bare.sent).split()) == sorted(WORDS)
+    assert not any(w in t.lower() for t in whole.sent for w in WORDS)
+    rare = lambda k: " ".join(f"rare{''.join(chr(97 + int(d)) for d in str(k * 1000 + j))}" for j in range(250))
+    table.encode([f"{common} {rare(1)}"], 1)
+    bare.sent.clear()
+    table.encode([f"{common} {rare(2)}"], 1)
+    assert len(table.words) == len(WORDS) + 250 and not set(" ".join(bare.sent).split()) & set(WORDS)
+
+
+def test_word_table_on_odd_words():
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(token_files.default_tokenizer()), random.Random(7)
+    parts = ["foo", "Foo", "É", "e\u0301", "ß", "ẞ", "İ", "ſ", "K", "µ", "ª", "×", "Ÿ", "a" * 300, "don't", "'s", "'reason", "'", ".", ",", "...", "$$$", "<|", "|>", "<|endoftext|>", "<", "=", "\u0338", "_", "-", "23", "²", "\n", "\t", "\x0b", "  ", "\u00a0", "\u2003", "\x85", "\x00", "\x1c", "\u200b", "😀", "中文", "ﬁ", "Привет"]
+    table = token_files.WordTable(token_files.default_tokenizer(), 300)
+    for _ in range(8):
+        texts = ["".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(0, 12))) for _ in range(150)]
+        ids, n = table.encode(texts, 1)
+        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
+
+
+def test_token_files_query(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.default_tokenizer())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts, start = {i: t for i, t, _ in rows}, 0
+    got = token_files.query(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(i for i, _, _ in rows)
+    for r in got:
+        ids = np.array(tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [1], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_directly_addressable_codes():
     ids = np.random.default_rng(1).integers(0, 1 << 32, 5000, dtype=np.uint64)
     ids[::2] %= 300

@@ -20,12 +20,12 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ from .common import bound_batches, long_id, ragged, row_key, shared_dir, text_of
 MAGIC = b"DAC1"
 RANK_BYTES = 64
 _SPECIAL = "<|endoftext|>"
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº")
 _OTHER_SPACE = re.compile("[\t\n\x0b\x0c\r]")
 _BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -120,14 +120,41 @@ def _spaced(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+class Runs:
+    """Runs of ids, one behind the other."""
+
+    def __init__(self):
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs, and how many each has."""
+        length = self.length[which]
+        return self.ids[ragged(self.start[which], length)], length
+
+
+def _codes(known: pa.Array, more: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different strings of two arrays, those of the first in front, and the places of the second's among them."""
+    last = pa.chunked_array([known, more]).dictionary_encode().combine_chunks()
+    return last.dictionary, last.indices.to_numpy()[len(known) :]
+
+
 class WordTable:
     """Distinct words between white space and their ids.
 
     The tokenizer drops white space and never joins what stands on its two sides, so a text's ids
-    are those of its words.  A word of Latin letters, in lower case and without a full stop or
-    comma behind it, is a *core*: the tokenizer's own merges alone make its ids, so cores skip its
-    normaliser and its pattern, and are encoded by thousands.  The last id of each is one that ends
-    a word, which tells them apart.  Other words go through the whole tokenizer.
+    are those of its words.  A word of Latin letters, in lower case and without the ASCII
+    punctuation behind it, is a *core*: the tokenizer's own merges alone make its ids, so cores skip
+    its normaliser and its pattern, and are encoded by thousands.  The last id of each is one that
+    ends a word, which tells them apart.  Punctuation behind a core is a word of its own to the
+    tokenizer's pattern.  Other words go through the whole tokenizer.
+
+    Words stay in Arrow arrays: a call's words are looked up by one hash over them and the table's.
+    A full table keeps the words that came again in a later call, if they are less than half of it.
     """
 
     def __init__(self, path: str, table_rows: int):
@@ -148,31 +175,19 @@ class WordTable:
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)}
         self.limit = table_rows
-        self.clear()
+        self.words, self.runs = pa.array([], pa.large_string()), Runs()
+        self.again = np.zeros(0, bool)  # of a word: whether it came in a later call as well
 
-    def clear(self) -> None:
-        self.code: defaultdict[str, int] = defaultdict()  # of a word: how many were there before it
-        self.code.default_factory = self.code.__len__
-        self.parts = np.zeros((0, 2), np.int64)  # of a word: its core and what stands behind it
-        self.core: dict[str, int] = {"": 0}
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _append(self, ids: np.ndarray, length: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+    def _cores(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        shown = [c if c.isascii() else c.encode().decode("latin-1").translate(self.alphabet) for c in cores]
+        batch = self.bare.encode_batch_fast([" ".join(shown[k : k + 1000]) for k in range(0, len(shown), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in batch)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(cores):
+            raise RuntimeError("the tokenizer ends words otherwise than expected")
+        return ids, np.diff(ends, prepend=0)
 
-    def _encode(self, cores: list[str], others: list[str]) -> None:
-        """Ids of new cores and of new words of other kinds, which are all added to the table."""
-        self.core.update(zip(cores + others, range(len(self.core), len(self.core) + len(cores) + len(others))))
-        if cores:
-            shown = [c if c.isascii() else c.encode().decode("latin-1").translate(self.alphabet) for c in cores]
-            batch = self.bare.encode_batch_fast([" ".join(shown[k : k + 1000]) for k in range(0, len(shown), 1000)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in batch])
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(cores):
-                raise RuntimeError("the tokenizer ends words otherwise than expected")
-            self._append(ids, np.diff(ends, prepend=0))
+    def _others(self, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         marked = [w for w in others if "<|" in w]
         alone = dict(zip(marked, self.tok.encode_batch_fast(marked, add_special_tokens=False)))
         rest = [w for w in others if w not in alone]
@@ -181,38 +196,48 @@ class WordTable:
         ends = np.flatnonzero(ids == self.special)  # the special token stands behind each word
         runs = iter(np.split(ids, ends + 1)[:-1])
         out = [np.array(alone[w].ids, np.uint32) if w in alone else next(runs)[:-1] for w in others]
-        if out:
-            self._append(np.concatenate(out), np.array([len(x) for x in out], np.int64))
-
-    def add(self, words: list[str]) -> None:
-        plain, of = _PLAIN.fullmatch, self.core.__getitem__
-        heads = [(w[:-1].lower() if w[-1] in ".," else w.lower()) if plain(w) else None for w in words]
-        tails = [w[-1] if h is not None and w[-1] in ".," else "" for w, h in zip(words, heads)]
-        others = {w for w, h in zip(words, heads) if h is None}.union(tails).difference(self.core)
-        self._encode(list(set(heads).difference(self.core, (None,))), list(others))
-        pair = np.empty((len(words), 2), np.int64)
-        pair[:, 0] = np.fromiter(map(of, (w if h is None else h for w, h in zip(words, heads))), np.int64, len(words))
-        pair[:, 1] = np.fromiter(map(of, tails), np.int64, len(words))
-        self.parts = np.concatenate([self.parts, pair])
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array([len(x) for x in out], np.int64)
+
+    def _add(self, words: pa.Array) -> None:
+        """Ids of new words, in the order in which they stand in the table."""
+        heads = pc.ascii_rtrim(words, characters=punctuation)
+        plain = pc.match_substring_regex(heads, f"^[{_LETTERS}]+$")
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=_LETTERS), "")
+        heads, head = _codes(words[:0], pc.if_else(plain, pc.utf8_lower(heads), words))
+        parts, tail = _codes(heads, tails)
+        core = np.zeros(len(parts), bool)
+        core[head] = plain.to_numpy(zero_copy_only=False)
+        text, place, runs = parts.to_numpy(zero_copy_only=False), np.argsort(np.argsort(~core, kind="stable")), Runs()
+        runs.append(*self._cores(text[core].tolist()))
+        runs.append(*self._others(text[~core].tolist()))
+        ids, length = runs.take(place[np.column_stack([head, tail]).ravel()])
+        self.runs.append(ids, length.reshape(-1, 2).sum(axis=1))
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def _shed(self) -> None:
+        kept = np.flatnonzero(self.again) if 2 * self.again.sum() < self.limit else np.zeros(0, np.int64)
+        runs, self.runs = self.runs, Runs()
+        self.runs.append(*runs.take(kept))
+        self.words, self.again = self.words.take(pa.array(kept)), np.zeros(len(kept), bool)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, and the number of ids of each text."""
-        if len(self.code) > self.limit:
-            self.clear()
-        split = [_spaced(t).split(" ") for t in texts]
-        known, count = len(self.code), [len(w) for w in split]
-        flat = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(count))
-        if len(self.code) > known:
-            self.add(list(islice(self.code, known, None)))
-        parts = self.parts[flat].ravel()
-        length = self.length[parts]
-        n = np.add.reduceat(length, 2 * (np.cumsum(count) - count))
+        if len(self.words) > self.limit or self.words.nbytes > 64 * self.limit:  # words may be long
+            self._shed()
+        split = pc.split_pattern(pa.array(map(_spaced, texts), pa.large_string()), " ")
+        known, count = len(self.words), split.value_lengths().to_numpy().astype(np.int64)
+        self.words, code = _codes(self.words, split.flatten())
+        self.again[code[code < known]] = True
+        if len(self.words) > known:
+            self._add(self.words[known:])
+        flat, length = self.runs.take(code)
+        n = np.add.reduceat(length, np.cumsum(count) - count)
         ends = np.cumsum(n + 1)
         ids = np.empty(int(ends[-1]), np.uint32)
         keep = np.ones(len(ids), bool)
         keep[ends - 1] = False
-        ids[keep] = self.ids[ragged(self.start[parts], length)]
-        ids[~keep] = end_id
+        ids[keep] = flat
+        ids[ends - 1] = end_id
         return ids, n + 1
 
 
@@ -281,7 +306,8 @@ def _read(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
             for row in batch.to_pylist():
                 codes, ends = Dac(row["payload"]), np.array(row["ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
-                values = [value(codes.run(a, b)) for a, b in zip(starts.tolist(), ends.tolist())]
+                ids = codes.run(0, len(codes))  # all its documents are wanted
+                values = [value(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(starts + row["first_token"] + bases[row["part"]]), "n_tokens": pa.array(ends - starts)}
                 columns[names[-1]] = pa.array(values, kinds[names[-1]])
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
@@ -297,4 +323,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path)
-    return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda x: zlib.crc32(x.astype("<u4").tobytes()))
+    return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda x: zlib.crc32(x.astype("<u4", copy=False)))
