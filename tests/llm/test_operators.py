@@ -524,6 +524,16 @@ def test_word_table_on_odd_words():
             assert got.tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
+def test_short_texts_are_encoded_together():
+    import pyarrow as pa
+
+    rows = [(i, "" if i % 3 else f"text {i}") for i in range(600)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[k : k + 10]]) for k in range(0, 600, 10)]
+    got = list(token_files._gathered(iter(batches), 4000))
+    assert [x for ids, texts in got for x in zip(ids, texts)] == rows
+    assert 2 <= len(got) <= 4
+
+
 def test_token_files_query(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 

@@ -247,6 +247,21 @@ def word_table(path: str, table_rows: int, job: str) -> WordTable:
     return WordTable(path, table_rows)
 
 
+def _gathered(batches, batch_chars: int):
+    """Ids and texts of about so many characters: each call of the table hashes all its words, so short texts of several Arrow batches go into one."""
+    doc_ids, texts, chars = [], [], 0
+    for batch in batches:
+        for piece, more in text_slices(batch, "text", batch_chars):
+            doc_ids.extend(piece.column(0).to_pylist())
+            texts.extend(more)
+            chars += sum(map(len, more)) + 16 * len(more)  # a row takes memory also if it is empty
+            if chars >= batch_chars:
+                yield doc_ids, texts
+                doc_ids, texts, chars = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1_000_000, table_rows: int = 800_000, batch_chars: int = 4_000_000) -> None:
     """Tokenise ``docs`` and write files under ``path``: ``segments`` and ``manifest``.
 
@@ -271,14 +286,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             heads = [pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int64()), (first, pa.int64()), (len(ids), pa.int64()))]
             return pa.RecordBatch.from_arrays([*heads, *lists, pa.array([dac_encode(ids)], pa.binary())], names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-        for batch in batches:
-            for piece, texts in text_slices(batch, "text", batch_chars):
-                ids, count = table.encode(texts, end_id)
-                held.append((piece.column(0).to_pylist(), ids, count))
-                tokens += len(ids)
-                if tokens >= segment_tokens:
-                    yield close()
-                    segment, first, tokens, held = segment + 1, first + tokens, 0, []
+        for doc_ids, texts in _gathered(batches, batch_chars):
+            ids, count = table.encode(texts, end_id)
+            held.append((doc_ids, ids, count))
+            tokens += len(ids)
+            if tokens >= segment_tokens:
+                yield close()
+                segment, first, tokens, held = segment + 1, first + tokens, 0, []
         if held:
             yield close()
 
